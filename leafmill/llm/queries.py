@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, html, media, mixing, packing, rules, secrets, sharding, simhash
+from . import classifier, html, media, mixing, packing, repeats, rules, secrets, sharding, simhash
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(pages, html.fit(pages))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op2_html_extraction": op2_html_extraction,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_secret_scan": op4_secret_scan,
         "op5_sharding": op5_sharding,
         "op6_media": op6_media,
