@@ -78,21 +78,25 @@ def is_page_number(text: str | Column) -> Column:
     return (F.length(line) > 0) & (F.length(line) <= 20) & line.rlike(PAGE_NUMBER)
 
 
+def n_of(text: str | Column, kind: str) -> Column:
+    """How many characters are of a class; runs are taken out at once, which beats counting matches."""
+    t = col(text)
+    return F.length(t) - F.length(F.regexp_replace(t, f"{kind}+", ""))
+
+
 def dominant_script(text: str | Column) -> Column:
     """Script of most letters; the earlier of the list on a tie; "unknown" without letters."""
-    counts = [(name, F.regexp_count(col(text), F.lit(f"\\p{{Is{p}}}"))) for name, p in SCRIPTS]
-    top = F.greatest(*[c for _, c in counts])
-    out = F.lit("unknown")
-    for name, c in reversed(counts):
-        out = F.when(c == top, F.lit(name)).otherwise(out)
-    return F.when(top > 0, out).otherwise(F.lit("unknown"))
+    # One array of counts, so that each is computed once.
+    counts = [F.struct(n_of(text, f"\\p{{Is{p}}}").alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, p) in enumerate(SCRIPTS)]
+    top = F.array_max(F.array(*counts))
+    return F.transform(F.array(top), lambda t: F.when(t["n"] > 0, t["name"]).otherwise("unknown"))[0]
 
 
 def garbling(text: str | Column, script: Column, s: Settings = DEFAULTS) -> dict[str, Column]:
     """Ratios and a verdict: clean, suspect, garbled, or unknown without text or for scripts without spaces."""
     t = col(text)
     n = F.length(t)
-    count = lambda pattern, of=t: F.regexp_count(of, F.lit(pattern))
+    count = lambda kind, of=t: n_of(of, kind)
     replacement = count("[\\uFFFD\\x00]") / n
     control = count("(?U)[\\p{Cc}\\p{Cf}\\p{Co}\\p{Cn}&&[^\\s]]") / n
     nonword = count("(?U)[^\\p{L}\\p{N}\\s.,;:!?'\"\\-—–()\\[\\]]") / n
@@ -187,9 +191,14 @@ def n_sentences(text: str | Column) -> Column:
 def repeated_share(text: str | Column, n: int = 5) -> Column:
     """Share of n-grams of words that repeat an earlier one; 0 below 3 n words."""
     words = F.filter(F.split(col(text), "(?U)\\s+"), lambda w: w != "")
-    size = F.size(words)
-    grams = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-    return F.when(size < 3 * n, 0.0).otherwise((F.size(grams) - F.size(F.array_distinct(grams))) / F.size(grams))
+
+    # An array of one binds its element to a variable: the words, and then the grams, are computed once.
+    def share(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+        ratio = F.transform(F.array(grams), lambda g: (F.size(g) - F.size(F.array_distinct(g))) / F.size(g))[0]
+        return F.when(F.size(w) < 3 * n, 0.0).otherwise(ratio)
+
+    return F.transform(F.array(words), share)[0]
 
 
 def base_language(lang: str | Column) -> Column:

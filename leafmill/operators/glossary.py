@@ -31,7 +31,7 @@ def occurrences(terms: DataFrame, texts: DataFrame, text: str = "text") -> DataF
 
 def occurring(pairs: DataFrame, terms: DataFrame, source: str = "source_text") -> DataFrame:
     """pairs x terms where the term stands in the pair's source."""
-    return pairs.join(terms, F.lower(source).contains(F.lower("source")) & F.col(source).rlike(pattern("source")))
+    return pairs.join(terms, F.lower(source).contains(F.lower("source")) & F.rlike(F.col(source), pattern("source")))
 
 
 def adheres(target: str | Column, text: str | Column) -> Column:
