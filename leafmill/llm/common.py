@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Rows an Arrow batch holds; with maxBytesPerBatch it bounds what a Python worker has at once.
@@ -90,9 +89,14 @@ def ranked(df: DataFrame, group: list[str], order: list[str], *, size: str | Non
     return out.drop("_part", "_p", "_n0", "_s0", *[f"_g_{c}" for c in group])
 
 
+_TYPES = {"doc_id": "bigint", "page_id": "bigint", "text": "string", "html": "string", "url": "string", "source": "string"}
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The columns by exact name, typed as they are; extra columns never reach an operator's internals."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+    """The columns by exact name and of their usual type; extra columns never reach an operator's internals."""
+    return df.select(*[F.col(f"`{c}`").cast(_TYPES[c]).alias(c) if c in _TYPES else F.col(f"`{c}`") for c in columns])
 
 
-DOCUMENT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever their names."""
+    return [F.col(f"`{c}`") for c in df.columns]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordscan as ws
-from .common import materialize, only, release, tune
+from .common import columns, materialize, only, release, tune
 from .graph import components
 
 BITS, SHINGLE, SEED, TAU = 64, 3, 42, 2
@@ -193,8 +193,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     found = materialize(near_duplicates(docs), "classes")
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
     ids, again = kept.select("doc_id"), kept.where("_n > 1").select("doc_id")
-    out = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
+    out = docs.join(ids, "doc_id", "left_semi").select(*columns(docs))
     if not again.isEmpty():
-        repeats = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-        out = out.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeats)
+        repeats = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*columns(docs))
+        out = out.join(again, "doc_id", "left_anti").select(*columns(docs)).unionByName(repeats)
     return out.unionByName(docs.where("doc_id is null"))
