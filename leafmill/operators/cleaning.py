@@ -101,8 +101,8 @@ def strip_furniture(lines: DataFrame, s: Settings = DEFAULTS) -> tuple[DataFrame
     pages = lines.groupBy("book_id").agg(F.countDistinct("page").alias("_pages"))
     often = grouped.groupBy("book_id", "group").agg(F.countDistinct("page").alias("_on")).join(pages, "book_id").where((F.col("_pages") >= PAGES_LEAST) & (F.col("_on") >= F.greatest(F.lit(2), F.floor(F.col("_pages") * F.lit(s.furniture_page_share)))))
     heads = grouped.join(often.select("book_id", "group"), ["book_id", "group"], "left_semi").select("book_id", "page", "line_ord", F.lit("running-head").alias("reason"))
-    folios = margin.where(tx.is_page_number("text")).select("book_id", "page", "line_ord", F.lit("page-number").alias("reason"))
-    gone = heads.unionByName(folios).groupBy("book_id", "page", "line_ord").agg(F.max("reason").alias("reason"))
+    numbered = margin.where(tx.is_page_number("text")).select("book_id", "page", "line_ord", F.lit("page-number").alias("reason"))
+    gone = heads.unionByName(numbered).groupBy("book_id", "page", "line_ord").agg(F.max("reason").alias("reason"))
     audit = lines.join(gone, ["book_id", "page", "line_ord"]).select("book_id", "page", "text", F.when(tx.is_page_number("text"), "page-number").otherwise(F.col("reason")).alias("reason"))
     return lines.join(gone, ["book_id", "page", "line_ord"], "left_anti"), audit
 

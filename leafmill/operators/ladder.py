@@ -34,14 +34,14 @@ def scripted(behaviour: str, prefix: str = "[t] ", every: int = 10, keep: float
             case "drop":
                 return "\n".join(x for k, x in enumerate(lines, 1) if k % every)
             case "invent":
-                return "\n".join([*lines, '<seg id="b9999">Words that no author wrote.</seg>'])
+                return "\n".join([*lines, '<seg id="b99999">Nobody asked for this.</seg>'])
             case "duplicate":
                 return "\n".join(lines[:1] + lines)
             case "malformed":
                 forms = ('<seg id="{}">{}', "<seg>{1}</seg>")
                 return "\n".join((forms[k] if k < 2 else '<seg id="{}">{}</seg>').format(i, t) for k, (i, t) in enumerate(zip(ids, texts, strict=True)))
             case "refuse":
-                return "I'm sorry, but I can't help with translating this. As an AI, I have to decline. [Content omitted]"
+                return "That is beyond me: as a language model I must decline. [Note]"
             case "degenerate":
                 return _wire((i, " ".join(["the same few words again"] * repeats)) for i in ids)
             case "truncate":
@@ -50,7 +50,7 @@ def scripted(behaviour: str, prefix: str = "[t] ", every: int = 10, keep: float
             case "passthrough":
                 return _wire(zip(ids, texts, strict=True))
             case "chatty":
-                return "Here is the translation:\n\n```xml\n" + "\n".join(lines) + "\n```\n\nAnything else?"
+                return "Of course.\n```xml\n" + "\n".join(lines) + "\n```\nWill that do?"
         raise ValueError(f"no behaviour named {behaviour}")
 
     return run

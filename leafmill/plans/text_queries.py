@@ -57,8 +57,8 @@ def running_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {LINES} select doc_id, pos, text from lines where {IS_PAGE} union all select doc_id, -1, text from (select doc_id, '- ' || doc_id || ' -' as text from documents) where {IS_PAGE}")
 def page_number_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir).select("doc_id", "pos", "text")
-    folios = table(spark, sf_dir, "documents").select("doc_id", F.lit(-1).alias("pos"), F.concat(F.lit("- "), "doc_id", F.lit(" -")).alias("text"))
-    return rows.unionByName(folios).where(tx.is_page_number("text"))
+    numbered = table(spark, sf_dir, "documents").select("doc_id", F.lit(-1).alias("pos"), F.concat(F.lit("- "), "doc_id", F.lit(" -")).alias("text"))
+    return rows.unionByName(numbered).where(tx.is_page_number("text"))
 
 
 _SCRIPT_COUNTS = ", ".join(_count(f"\\p{{{p}}}") + f" as {name}" for name, p in tx.SCRIPTS)

@@ -120,7 +120,7 @@ def extract(files: DataFrame, name: str) -> DataFrame:
                     rows += [{"path": path, "error": None, **row} for row in extractor.read(bytes(content))]
                 except Exception as e:  # noqa: BLE001 - a bad file is a row, not a failed job
                     rows.append({"path": path, "error": str(e)})
-            yield pd.DataFrame(rows, columns=schema.names)
+            yield pd.DataFrame({c: pd.Series([row.get(c) for row in rows], dtype=object) for c in schema.names})
 
     return files.select("path", "content").mapInPandas(run, schema)
 
