@@ -32,7 +32,7 @@ from .common import materialize, only, partitions, release, tune
 
 LENGTH, KMER, BLOCK = 400, 128, 100
 SPAN = LENGTH - KMER + 1
-CROWD, CHUNK = 20_000, 3 << 20
+CROWD, CHUNK = 4_000, 1 << 20
 _PLACE = 23
 
 
@@ -65,6 +65,14 @@ def contexts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row, begin - off[row], number, anchor, ws.range_hash(sums, begin, begin + number + LENGTH - 1)
 
 
+def stable_order(symbols: np.ndarray) -> np.ndarray:
+    """argsort(kind="stable") of numbers of 0 up, by one sort of the numbers with their places below them."""
+    bits = np.int64(max(1, len(symbols)).bit_length())
+    keys = (symbols << bits) | np.arange(len(symbols))
+    keys.sort()
+    return keys & ((np.int64(1) << bits) - 1)
+
+
 class Transform:
     """A shard's suffixes in sorted order by what stands before each (`symbols`, 0 at a string's start) and where it is."""
 
@@ -87,7 +95,7 @@ def transform(symbols: np.ndarray, off: np.ndarray) -> Transform:
     for _ in range(deepest):
         # Whoever has a block before it leads to the suffix one block longer; the ends come first.
         led = order[inside[order]]
-        ranked = np.argsort(before[led], kind="stable")
+        ranked = stable_order(before[led])
         order = np.concatenate([np.flatnonzero(ends), led[ranked] - BLOCK])
     return Transform(before[order], order)
 
@@ -99,7 +107,7 @@ def merge(a: Transform, b: Transform, depth: int) -> tuple[np.ndarray, np.ndarra
     for _ in range(depth):
         symbols = np.empty(len(side), np.int64)
         symbols[~side], symbols[side] = a.symbols, b.symbols
-        order = np.argsort(symbols, kind="stable")
+        order = stable_order(symbols)
         side, symbols, group = side[order], symbols[order], group[order]
         parts = np.ones(len(side), bool)
         # Two ends never part; other suffixes part by their first block or by what follows it.
@@ -154,35 +162,55 @@ def _spans(flag: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
+def _rows(done: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
+    columns = list(zip(*done, strict=True)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["anchor", "hash", "spans"])
+
+
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor and hash: whole anchors are gathered up to CHUNK bytes and merged."""
-    anchors: list[int] = []
-    hashes: list[int] = []
-    copies: list[int] = []
-    texts: list[bytes] = []
-    held = 0
-
-    def flush() -> pa.RecordBatch:
-        spans = [_spans(f) for f in repeated_windows(texts, np.array(copies, float))]
-        out = pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(hashes, pa.int64()), pa.array(spans, pa.list_(pa.int32()))], ["anchor", "hash", "spans"])
-        for column in (anchors, hashes, copies, texts):
-            column.clear()
-        return out
+    """Rows sorted by anchor and hash: whole anchors are gathered up to CHUNK bytes and merged.
+
+    An anchor with one context needs no merge: its suffixes are an interval each, as wide as its copies.
+    """
+    held: list[tuple[int, int, int, bytes]] = []
+    own: list[tuple[int, int, int, bytes]] = []
+    size = 0
+
+    def flush(done: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
+        if held:
+            flags = repeated_windows([x[3] for x in held], np.array([x[2] for x in held], float))
+            done += [(x[0], x[1], _spans(f)) for x, f in zip(held, flags, strict=True)]
+            held.clear()
+        return _rows(done)
+
+    def close(done: list[tuple[int, int, list[int]]]) -> None:
+        nonlocal size
+        if len(own) == 1:
+            anchor, hash_, n, text = own[0]
+            done.append((anchor, hash_, [0, len(text) - LENGTH + 1] if n > 1 else []))
+        else:
+            held.extend(own)
+            size += sum(len(x[3]) for x in own)
+        own.clear()
 
     for batch in batches:
-        for anchor, hash_, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if hashes and hashes[-1] == hash_ and anchors[-1] == anchor:
+        done: list[tuple[int, int, list[int]]] = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own and own[-1][:2] == row[:2]:
                 continue
-            if held > CHUNK and anchors[-1] != anchor:
-                yield flush()
-                held = 0
-            anchors.append(anchor)
-            hashes.append(hash_)
-            copies.append(n)
-            texts.append(text)
-            held += len(text)
-    if texts:
-        yield flush()
+            if own and own[-1][0] != row[0]:
+                close(done)
+                if size > CHUNK:
+                    yield flush(done)
+                    done, size = [], 0
+            own.append(row)
+        if done:
+            yield _rows(done)
+    done = []
+    if own:
+        close(done)
+    if held or done:
+        yield flush(done)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +227,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in ws.pieces(batch, limit=1 << 20):
+        for part in ws.pieces(batch, limit=1 << 19):
             data, off = ws.buffers(part.column("text"))
             row, begin, number, anchor, hash_ = contexts(data, off)
             key = part.column("key").take(pa.array(row))
