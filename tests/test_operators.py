@@ -251,3 +251,62 @@ def test_redaction(spark):
 
 def test_schemas():
     assert len(schemas.BLOCK_KINDS) == 12 and "text" in schemas.BLOCK.names
+
+
+def test_epub_round_trip(spark):
+    from leafmill.operators import archives
+
+    books = spark.createDataFrame([("b1", "T & t", "fa", [("One", '<p id="b1">x<br>\ny</p>'), ("Empty", " "), ("Two", '<hr class="s">')])], "book_id string, title string, lang string, chapters array<struct<title:string,html:string>>")
+    files = archives.epub_files(books)
+    assert archives.epub_findings(files).count() == 0
+    content = bytes(files.first().content)
+    assert archives.epub_problems(content[:200])[0][0] == "error:archive" and archives.epub_problems(content) == []
+
+
+@pytest.mark.parametrize("area", ["mimetype", "container", "metadata", "manifest", "spine", "content"])
+def test_epub_corruption(area):
+    import io
+    import zipfile
+
+    from leafmill.operators import archives
+
+    z = zipfile.ZipFile(io.BytesIO(archives.epub("b", "t", "en", [("One", "<p>x</p>")])))
+    files = {n: z.read(n).decode() for n in z.namelist()}
+    change = {"mimetype": ("mimetype", "epub", "zip"), "container": (archives.CONTAINER, "content.opf", "none.opf"), "metadata": ("book/content.opf", "<dc:title>t</dc:title>", ""), "manifest": ("book/content.opf", "c000.xhtml", "c009.xhtml"), "spine": ("book/content.opf", 'idref="c0"', 'idref="c7"'), "content": ("book/c000.xhtml", "</p>", "")}
+    name, old, new = change[area]
+    files[name] = files[name].replace(old, new)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as w:
+        for n, text in files.items():
+            w.writestr(n, text)
+    assert f"error:{area}" in {k for k, _ in archives.epub_problems(out.getvalue())}
+
+
+def test_docx_and_typst(spark):
+    import io
+    import zipfile
+
+    from leafmill.operators import archives, exporting
+
+    books = spark.createDataFrame([("b", "en", "a **b** *c* <d>")], "book_id string, lang string, text string")
+    runs = exporting.runs("text")
+    rows = books.select("book_id", "lang", F.array(F.struct(F.lit("heading").alias("kind"), F.lit(9).alias("level"), runs.alias("runs"))).alias("blocks"))
+    xml = zipfile.ZipFile(io.BytesIO(bytes(archives.docx_files(rows).first().content))).read("word/document.xml").decode()
+    assert "Heading4" in xml and "<w:b/>" in xml and "&lt;d&gt;" in xml
+    assert books.select(archives.typst_inline("text", runs)).first()[0] == "a #strong[b] #emph[c] \\<d\\>"
+
+
+def test_summaries(spark):
+    from leafmill.operators import summaries
+
+    assert summaries.parse_selection("3-5, 12,4") == [3, 4, 5, 12]
+    for bad in ("", "x", "5-3", "1--2"):
+        with pytest.raises(ValueError):
+            summaries.parse_selection(bad)
+    assert value(spark, summaries.prompt("to {lang}: {text}", lang=F.lit("de"), text=F.lit("x"))) == "to de: x"
+    with pytest.raises(ValueError, match="no value"):
+        summaries.prompt("{a}")
+    assert [value(spark, summaries.is_transient(F.lit(s), F.lit(k))) for s, k in ((429, ""), (503, ""), (400, ""), (0, "timeout"))] == [True, True, False, True]
+    pages = spark.createDataFrame([("b", 1, 2), ("b", 2, 1), ("b", 3, 2)], "book_id string, page int, columns int")
+    assert summaries.majority_columns(pages).first().columns == 2
+    assert summaries.bars_svg([("0-50", 2), ("50-60", 0)]).count("<rect") == 2
