@@ -42,7 +42,10 @@ def col(c: str | Column) -> Column:
 
 def normalize(text: str | Column, lang: str | None = None) -> Column:
     """Ligatures spelt out, soft characters deleted, odd spaces made plain, runs of blanks made one (without NFC)."""
-    out = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), LIGATURES.items(), col(text))
+    out = col(text)
+    # One look for any of them spares most texts the nine replacements.
+    spelt = reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), LIGATURES.items(), out)
+    out = F.when(out.rlike(f"[{''.join(LIGATURES)}]"), spelt).otherwise(out)
     out = F.translate(out, SPACES + DELETED, " " * len(SPACES))
     if lang and lang.lower().split("-")[0] == "fa":
         out = F.translate(out, PERSIAN_FROM, PERSIAN_TO)
@@ -55,9 +58,11 @@ def _nfc(text):  # noqa: ANN001, ANN202
 
 
 def normalize_nfc(text: str | Column, lang: str | None = None) -> Column:
-    """normalize, then normal form C where anything but ASCII stands; ASCII rows never leave the JVM's fast path."""
+    """normalize, then normal form C; only texts with marks that combine, or letters that compose, go to Python."""
     plain = normalize(text, lang)
-    return F.when(plain.rlike("[^\\x00-\\x7F]"), F.regexp_replace(_nfc(plain), "[ \\t]{2,}", " ")).otherwise(plain)
+    # Latin-1, and Latin Extended-A without its marks, are in normal form C by themselves.
+    other = plain.rlike("[^\\x00-\\u017F\\u2010-\\u2027\\u2030-\\u203A]")
+    return F.coalesce(_nfc(F.when(other, plain)), plain)
 
 
 def strip(text: str | Column) -> Column:

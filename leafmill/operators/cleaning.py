@@ -63,7 +63,8 @@ def furniture_candidates(lines: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 def furniture_groups(lines: DataFrame, book: str = "book_id", page: str = "page", s: Settings = DEFAULTS) -> DataFrame:
     """book, key, n_pages, threshold of each repeated key: on a quarter of the pages with lines, two at least."""
-    keyed = lines.withColumn("key", tx.furniture_key("text")).where("key <> ''")
+    # A generated column isn't computed anew in each filter above it.
+    keyed = lines.select(book, page, F.explode(F.array(tx.furniture_key("text"))).alias("key")).where("key <> ''")
     pages = lines.groupBy(book).agg(F.countDistinct(page).alias("pages"))
     groups = keyed.where(F.length("key") <= KEY_MOST).groupBy(book, "key").agg(F.countDistinct(page).alias("n_pages"), F.count(F.lit(1)).alias("hits"))
     threshold = F.greatest(F.lit(2), F.floor(F.col("pages") * F.lit(s.furniture_page_share))).cast("long")
@@ -94,7 +95,7 @@ def merged_keys(keys: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 def strip_furniture(lines: DataFrame, s: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
     """Kept lines and an audit (book_id, page, text, reason) of running heads and page numbers."""
-    margin = furniture_candidates(lines, s).withColumn("key", tx.furniture_key("text"))
+    margin = furniture_candidates(lines, s).select("*", F.explode(F.array(tx.furniture_key("text"))).alias("key"))
     keys = margin.where((F.col("key") != "") & (F.length("key") <= KEY_MOST)).groupBy("book_id", "key").agg(F.count(F.lit(1)).alias("hits"), F.min(F.struct("page", "line_ord")).alias("_at"))
     keys = keys.withColumn("first_seen", F.row_number().over(Window.partitionBy("book_id").orderBy("_at"))).drop("_at")
     grouped = margin.join(merged_keys(keys, s), ["book_id", "key"])
