@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -84,3 +84,20 @@ def apply_translations(blocks: DataFrame, translations: DataFrame) -> DataFrame:
     """blocks with their translated text, or their own where there is none; never a gap."""
     t = translations.select("id", F.col("text").alias("_t"))
     return blocks.join(t, "id", "left").withColumn("text", F.coalesce(F.when(F.trim("_t") != "", F.col("_t")), F.col("text"))).drop("_t")
+
+
+def commit(df: DataFrame, path: str, version: int) -> None:
+    """All of df or nothing: a version is written aside and counts once its success marker stands."""
+    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """The latest version whose marker stands; what a failed write left behind is passed over."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    whole = [int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    if not whole:
+        raise FileNotFoundError(f"no committed version under {path}")
+    return spark.read.parquet(f"{path}/version={max(whole)}")

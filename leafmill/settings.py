@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 
 # The parameters' defaults.
 @dataclass(frozen=True)
@@ -73,3 +73,27 @@ PRICES = {
 # Right-to-left languages and the report's score buckets (half-open).
 RTL = ("ar", "fa", "he", "ur", "ps", "sd", "ug", "yi", "dv")
 BUCKETS = ((0, 50), (50, 60), (60, 70), (70, 80), (80, 90), (90, 101))
+
+
+def load(*layers: dict[str, object], env: dict[str, str] | None = None, prefix: str = "LEAFMILL_") -> Settings:
+    """Settings from layers, the later over the earlier, then the environment; null never overrides.
+
+    Text is read as its field's type; a name that isn't a field, or a value of another type, is an error.
+    """
+    kinds = {f.name: type(getattr(DEFAULTS, f.name)) for f in fields(Settings)}
+    given: dict[str, object] = {}
+    for layer in (*layers, {k.removeprefix(prefix).lower(): v for k, v in (env or {}).items() if k.startswith(prefix)}):
+        given |= {k: v for k, v in layer.items() if v is not None}
+    if unknown := set(given) - set(kinds):
+        raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+    out = {}
+    for name, value in given.items():
+        kind = kinds[name]
+        if isinstance(value, str) and kind in (int, float):
+            value = kind(value)
+        if kind is float and isinstance(value, int) and not isinstance(value, bool):
+            value = float(value)
+        if not isinstance(value, kind):
+            raise ValueError(f"{name} must be {kind.__name__}, not {value!r}")
+        out[name] = value
+    return replace(DEFAULTS, **out)

@@ -310,3 +310,39 @@ def test_summaries(spark):
     pages = spark.createDataFrame([("b", 1, 2), ("b", 2, 1), ("b", 3, 2)], "book_id string, page int, columns int")
     assert summaries.majority_columns(pages).first().columns == 2
     assert summaries.bars_svg([("0-50", 2), ("50-60", 0)]).count("<rect") == 2
+
+
+def test_settings():
+    from leafmill.settings import load
+
+    s = load({"batch_tokens": 300, "min_score": None}, {"batch_tokens": 400}, env={"LEAFMILL_MIN_SCORE": "85", "PATH": "x"})
+    assert (s.batch_tokens, s.min_score, s.max_attempts) == (400, 85.0, 3)
+    for bad in ({"nothing": 1}, {"batch_tokens": "many"}, {"batch_tokens": 1.5}):
+        with pytest.raises(ValueError):
+            load(bad)
+
+
+def test_commits(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "t")
+    storing.commit(spark.range(3), path, 1)
+    storing.commit(spark.range(5), path, 2)
+    assert storing.committed(spark, path).count() == 5
+    os.remove(f"{path}/version=2/_SUCCESS")
+    assert storing.committed(spark, path).count() == 3
+
+
+def test_batching_cost_is_linear(spark):
+    import time
+
+    def seconds(n):
+        rows = [("b", k % 10, k, "word " * 40) for k in range(n)]
+        frame = segmenting.units(spark.createDataFrame(rows, "book_id string, doc_id int, pos int, text string"))
+        began = time.time()
+        assert segmenting.batches(frame).count() == n
+        return time.time() - began
+
+    seconds(200)
+    small = seconds(200)
+    assert seconds(2000) < max(40 * small, 5)
