@@ -56,7 +56,7 @@ class WordTokens:
     table has `room` words, later new words are encoded anew for each batch: results don't depend on it.
     """
 
-    SLOTS = 1 << 22
+    SLOTS = 1 << 21
 
     def __init__(self, path: str, room: int = SLOTS // 2) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -204,7 +204,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(path)
         for batch in batches:
-            for part in ws.pieces(batch, limit=4 << 20):
+            for part in ws.pieces(batch, limit=1 << 20):
                 ids, first = tokens.encode(*ws.buffers(part.column("text")))
                 doc, piece, start, length, crc = [], [], [], [], []
                 for row, (i, j) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):

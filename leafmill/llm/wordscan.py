@@ -46,7 +46,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 3 << 20):
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
     """Slices of a batch of whole rows with up to about `limit` bytes of text (a longer row comes alone)."""
     off = buffers(batch.column(batch.schema.get_field_index(column)))[1]
     i, n = 0, batch.num_rows
