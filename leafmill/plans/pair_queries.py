@@ -35,9 +35,9 @@ def batch_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{BATCHES}, c as (select *, list(text) over (partition by book_id order by doc_id, pos rows between 2 preceding and 1 preceding) as previous, list(text) over (partition by book_id order by doc_id, pos rows between 1 following and 1 following) as next from fold)
-select doc_id, batch, arg_min(coalesce(previous, []), pos) as previous, arg_max(coalesce(next, []), pos) as next from c group by 1, 2""")
+select doc_id, batch, array_to_string(arg_min(coalesce(previous, []), pos), '|') as previous, array_to_string(arg_max(coalesce(next, []), pos), '|') as next from c group by 1, 2""")
 def batch_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmenting.contexts(_placed(spark, sf_dir)).select("doc_id", "batch", "previous", "next")
+    return segmenting.contexts(_placed(spark, sf_dir)).select("doc_id", "batch", F.array_join("previous", "|").alias("previous"), F.array_join("next", "|").alias("next"))
 
 
 @query(f"{BATCHES}, {_PER} select doc_id, batch, ((floor(tokens * 3.0::double) + 512 + 12 * units + 4000) * (case when oversized then 2 else 1 end))::bigint as budget from per")
@@ -94,11 +94,11 @@ def render_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wire(spark, sf_dir).select("doc_id", tags.render(F.col("segments")).alias("wire"))
 
 
-@query(f"with {LINES}, {UNITS} select doc_id, ids, list_transform(ts, lambda x: regexp_replace(x, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) as texts from {_ORDERED}")
+@query(f"with {LINES}, {UNITS} select doc_id, array_to_string(ids, '|') as ids, array_to_string(list_transform(ts, lambda x: regexp_replace(x, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), '|') as texts from {_ORDERED}")
 def parse_segments_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     wire = _wire(spark, sf_dir).select("doc_id", tags.render(F.col("segments")).alias("wire"))
     fenced = F.concat(F.lit("```xml\n"), "wire", F.lit("\n```"))
-    return wire.select("doc_id", tags.strip_fence(fenced).alias("wire")).select("doc_id", tags.ids(F.col("wire")).alias("ids"), tags.bodies(F.col("wire")).alias("texts"))
+    return wire.select("doc_id", tags.strip_fence(fenced).alias("wire")).select("doc_id", F.array_join(tags.ids(F.col("wire")), "|").alias("ids"), F.array_join(tags.bodies(F.col("wire")), "|").alias("texts"))
 
 
 def parsed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,13 +110,13 @@ def parsed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 query()(parsed_responses)
 
 
-@query(f"with {LINES}, {UNITS} select doc_id as batch_id, list(printf('b%04d', pos) order by pos) filter (where k % 3 = 0) as missing, ['b9999'] as unexpected from units group by 1")
+@query(f"with {LINES}, {UNITS} select doc_id as batch_id, array_to_string(coalesce(list(printf('b%04d', pos) order by pos) filter (where k % 3 = 0), []), '|') as missing, 'b9999' as unexpected from units group by 1")
 def segment_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segmenting.units(lines(spark, sf_dir)).select(F.col("doc_id").alias("batch_id"), tx.block_id("pos").alias("id"), F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).alias("ord"))
     extra = rows.select("batch_id").distinct().select("batch_id", F.lit("b9999").alias("id"), F.lit(100000).alias("ord"))
     got = rows.where("ord % 3 <> 0").unionByName(extra)
     found = screening.integrity(rows, got)
-    return found.select("batch_id", F.when(F.size("missing") > 0, F.array_sort("missing")).alias("missing"), "unexpected")
+    return found.select("batch_id", F.array_join(F.array_sort("missing"), "|").alias("missing"), F.array_join("unexpected", "|").alias("unexpected"))
 
 
 #: Answers that no conversation has, put after every seventh target and others.
@@ -167,10 +167,10 @@ def _numbers(of: str) -> str:
     return f"list_distinct(list_transform(regexp_extract_all({of}, '[0-9][0-9.,/]*'), lambda x: regexp_replace(x, '[.,]+$', '')))"
 
 
-@query(f"with d as (select doc_id, text || ' 12, 3.4 and ' || doc_id || '.' as source, regexp_replace(text, '[0-9]', '', 'g') || ' ۱۲' as target from documents), n as (select doc_id, {_numbers('source')} as a, {_numbers(chr(34) + 'folded' + chr(34))} as b from (select *, translate(target, '{tx.DIGITS_FROM}', '{tx.DIGITS_TO}') as folded from d)), m as (select doc_id, a, list_filter(a, lambda x: not list_contains(b, x)) as gone from n) select doc_id, case when len(a) >= 2 and len(gone) > len(a) / 2.0 then list_sort(gone)[1:5] end as missing from m")
+@query(f"with d as (select doc_id, text || ' 12, 3.4 and ' || doc_id || '.' as source, regexp_replace(text, '[0-9]', '', 'g') || ' ۱۲' as target from documents), n as (select doc_id, {_numbers('source')} as a, {_numbers(chr(34) + 'folded' + chr(34))} as b from (select *, translate(target, '{tx.DIGITS_FROM}', '{tx.DIGITS_TO}') as folded from d)), m as (select doc_id, a, list_filter(a, lambda x: not list_contains(b, x)) as gone from n) select doc_id, case when len(a) >= 2 and len(gone) > len(a) / 2.0 then array_to_string(list_sort(gone)[1:5], '|') end as missing from m")
 def numbers_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" 12, 3.4 and "), "doc_id", F.lit(".")).alias("source"), F.concat(F.regexp_replace("text", "[0-9]", ""), F.lit(" ۱۲")).alias("target"))
-    return docs.select("doc_id", screening.missing_numbers("source", "target").alias("missing"))
+    return docs.select("doc_id", F.array_join(screening.missing_numbers("source", "target"), "|").alias("missing"))
 
 
 #: Endings with odd marks, leaked tags and changed notes.
@@ -180,11 +180,11 @@ _MARKS_SQL = str(list(_MARKS))
 
 @query(f"""with {PAIRS}, p as (select conv_id, turn, source || ' [^1]' as source, target || ' ' || {_MARKS_SQL}[(conv_id % 6 + 1)::int] as target from pairs),
 r as (select *, list_sort(list_distinct(regexp_extract_all(source, '\\[\\^([A-Za-z0-9_-]+)\\]', 1))) as a, list_sort(list_distinct(regexp_extract_all(target, '\\[\\^([A-Za-z0-9_-]+)\\]', 1))) as b from p)
-select conv_id, turn, contains(target, '<seg') or contains(target, '</seg>') as leak, len(regexp_extract_all(target, '\\*\\*')) % 2 = 1 as odd_strong, len(regexp_extract_all(target, '`')) % 2 = 1 as odd_code, len(regexp_extract_all(replace(target, '**', ''), '\\*')) % 2 = 1 as odd_em, list_filter(a, lambda x: not list_contains(b, x)) as refs_dropped, list_filter(b, lambda x: not list_contains(a, x)) as refs_invented from r""")
+select conv_id, turn, contains(target, '<seg') or contains(target, '</seg>') as leak, len(regexp_extract_all(target, '\\*\\*')) % 2 = 1 as odd_strong, len(regexp_extract_all(target, '`')) % 2 = 1 as odd_code, len(regexp_extract_all(replace(target, '**', ''), '\\*')) % 2 = 1 as odd_em, array_to_string(list_filter(a, lambda x: not list_contains(b, x)), '|') as refs_dropped, array_to_string(list_filter(b, lambda x: not list_contains(a, x)), '|') as refs_invented from r""")
 def markup_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.element_at(F.array(*[F.lit(x) for x in _MARKS]), (F.col("conv_id") % 6 + 1).cast("int"))
     rows = pairs(spark, sf_dir).select("conv_id", "turn", F.concat("source", F.lit(" [^1]")).alias("source"), F.concat("target", F.lit(" "), mark).alias("target"))
-    return rows.select("conv_id", "turn", *[c.alias(k) for k, c in screening.markup("source", "target").items()])
+    return rows.select("conv_id", "turn", *[(F.array_join(c, "|") if k.startswith("refs") else c).alias(k) for k, c in screening.markup("source", "target").items()])
 
 
 _SENTENCES = "len(regexp_extract_all({0}, '[.!?…。！？؟۔]+([\\s\\p{{Z}}]|$)'))"

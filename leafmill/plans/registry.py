@@ -42,7 +42,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("role = 'user' and next = 'assistant'").select("conv_id", "turn", F.col("text").alias("source"), "target")
 
 
-LINES = "lines as (select source as book_id, doc_id, generate_subscripts(ls, 1) - 1 as pos, unnest(ls) as text from (select doc_id, source, string_split(text, chr(10)) as ls from documents))"
+LINES = "lines as (select source as book_id, doc_id, (generate_subscripts(ls, 1) - 1)::int as pos, unnest(ls) as text from (select doc_id, source, string_split(text, chr(10)) as ls from documents))"
 PAIRS = "pairs as (select conv_id, turn, text as source, target from (select *, lead(text) over w as target, lead(role) over w as next from conversations where role in ('user', 'assistant') window w as (partition by conv_id order by turn)) where role = 'user' and next = 'assistant')"
 TOKENS = "(case when length(text) = 0 then 0 else greatest(1, round_even(length(text)::double / 3.6::double, 0)) end)::int"
 STRIPPED = "regexp_replace(text, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')"

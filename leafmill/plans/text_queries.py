@@ -54,7 +54,7 @@ def running_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.where("n_pages >= threshold").select("book_id", "key", "n_pages", "hits")
 
 
-@query(f"with {LINES} select doc_id, pos, text from lines where {IS_PAGE} union all select doc_id, -1, text from (select doc_id, '- ' || doc_id || ' -' as text from documents) where {IS_PAGE}")
+@query(f"with {LINES} select doc_id, pos, text from lines where {IS_PAGE} union all select doc_id, -1::int, text from (select doc_id, '- ' || doc_id || ' -' as text from documents) where {IS_PAGE}")
 def page_number_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines(spark, sf_dir).select("doc_id", "pos", "text")
     numbered = table(spark, sf_dir, "documents").select("doc_id", F.lit(-1).alias("pos"), F.concat(F.lit("- "), "doc_id", F.lit(" -")).alias("text"))
@@ -121,7 +121,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.n_tokens("text").alias("tokens"))
 
 
-@query(f"select doc_id, {_count('[^\\s\\x0B\\x{85}\\p{Z}]+')} as words from documents")
+@query(f"select doc_id, {_count('[^\\s\\x0B\\x{85}\\p{Z}]+')}::int as words from documents")
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.n_words("text").alias("words"))
 
@@ -158,7 +158,7 @@ t as (select book_id, ord, regexp_replace(line, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$
 k as (select *, regexp_matches(t, '^(\\{{[0-9]+\\}}|-{{3,}})$') as is_break, length(regexp_extract(t, '^(#{{1,6}})\\s+(.*)$', 1)) as level from t where t <> ''),
 b as (select *, case when is_break and not coalesce(lag(is_break) over (partition by book_id order by ord), true) then 1 else 0 end as ends from k),
 p as (select *, (1 + sum(ends) over (partition by book_id order by ord))::int as page from b)
-select book_id, page, row_number() over (partition by book_id, page order by ord) - 1 as line_ord,
+select book_id, page, (row_number() over (partition by book_id, page order by ord) - 1)::int as line_ord,
  case when level > 0 then trim(regexp_extract(t, '^(#{{1,6}})\\s+(.*)$', 2)) when starts_with(t, '>') then trim(regexp_replace(t, '^[> ]+', '')) else t end as text,
  (case level when 1 then 20 when 2 then 17 when 3 then 15 when 4 then 13 when 5 then 12 when 6 then 11 else 10 end)::double as size,
  (case when starts_with(t, '>') and level = 0 then 75 else 45 end)::double as x0 from p where not is_break""")
@@ -256,7 +256,7 @@ def footnote_chapter_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.chapter_asof(docs.where("page % 3 <> 1"), chapters).select("book_id", "page", "chapter_id")
 
 
-@query(f"""with w as (select source as book_id, doc_id, {_count('[^\\s\\x0B\\x{85}\\p{Z}]+')} as words from documents), m as (select *, quantile_cont(words, 0.5) over (partition by book_id) as median from w)
+@query(f"""with w as (select source as book_id, doc_id, {_count('[^\\s\\x0B\\x{85}\\p{Z}]+')}::int as words from documents), m as (select *, quantile_cont(words, 0.5) over (partition by book_id) as median from w)
 select doc_id, words, case when words = 0 then 'empty' when words < 200 then 'short' when words > 3 * median then 'long' end as anomaly from m""")
 def chapter_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), "doc_id", tx.n_words("text").alias("words"))
@@ -295,7 +295,7 @@ def pages_to_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with l as (select source as book_id, doc_id, regexp_replace(text, '(.{1,60})( |$)', '\\1' || chr(10), 'g') as text from documents where doc_id % 5 = 0),
-r as (select doc_id as book_id, generate_subscripts(ls, 1) - 1 as line_ord, unnest(ls) as raw from (select doc_id, string_split(text, chr(10)) as ls from l))
+r as (select doc_id as book_id, (generate_subscripts(ls, 1) - 1)::int as line_ord, unnest(ls) as raw from (select doc_id, string_split(text, chr(10)) as ls from l))
 select book_id, 1 as page, line_ord, trim(raw, ' ') as text, ((length(raw) - length(ltrim(raw, ' '))) * 5)::double as x0, (line_ord * 12)::double as top from r where trim(raw, ' ') <> ''""")
 def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("book_id"), F.regexp_replace("text", "(.{1,60})( |$)", "$1\n").alias("text"))
