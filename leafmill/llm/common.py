@@ -71,8 +71,10 @@ def ranked(df: DataFrame, group: list[str], order: list[str], *, size: str | Non
     """
     spark = df.sparkSession
     keys = [F.col(c).asc_nulls_last() for c in [*group, *order]]
-    sized = df.repartitionByRange(partitions(spark), *keys).withColumn("_part", F.spark_partition_id())
-    kept = materialize(sized, "ranked")
+    # Range partitioning reads its input twice, once for the bounds; what is costly to make is written before.
+    made = materialize(df, "unranked")
+    kept = materialize(made.repartitionByRange(partitions(spark), *keys).withColumn("_part", F.spark_partition_id()), "ranked")
+    release(made)
     sums = [F.count(F.lit(1)).alias("_n")] + ([F.sum(size).alias("_s")] if size else [])
     counts = kept.groupBy(*group, "_part").agg(*sums)
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
