@@ -275,9 +275,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = only(docs, "doc_id", "text").withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     long = texts.where(F.octet_length("text") >= LENGTH)
     found = materialize(long.select("key", "text").mapInArrow(_found, "key binary, begin int, number int, anchor long, hash long"), "contexts")
-    live = found.groupBy("anchor").count().where("count > 1").select("anchor")
-    found_live = materialize(found.join(live, "anchor", "left_semi"), "live")
-    release(found)
+    # Written, so that the join has an exchange of its own on either side, whose large partitions Spark can split.
+    often = materialize(found.groupBy("anchor").count().where("count > 1").select("anchor"), "often")
+    found_live = materialize(found.join(often, "anchor", "left_semi"), "live")
+    release(found, often)
     # One context for each hash: its copies, and one text and place to fetch it from.
     distinct = found_live.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "begin", "number")).alias("at"))
     wanted = distinct.groupBy("at.key").agg(F.collect_list(F.struct("anchor", "hash", "copies", F.col("at.begin").alias("begin"), F.col("at.number").alias("number"))).alias("wanted"))
