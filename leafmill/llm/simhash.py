@@ -13,7 +13,7 @@ Equal fingerprints are one node. A null doc_id never becomes a component_id unle
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -185,12 +185,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
     """The rows of docs, all columns as they are, whose doc_id is its component's smallest; one row a component.
 
-    Rows that repeat a doc_id are one document, of which one row stays; rows without doc_id are kept.
+    Rows that repeat a doc_id are one document, of which one row stays; rows without doc_id are kept. `classes` gives
+    doc_id and component_id.
     """
-    found = materialize(near_duplicates(docs), "classes")
+    found = materialize(classes(docs), "classes")
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
     ids, again = kept.select("doc_id"), kept.where("_n > 1").select("doc_id")
     out = docs.join(ids, "doc_id", "left_semi").select(*columns(docs))

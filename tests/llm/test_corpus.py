@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from leafmill.llm import mixing, packing, repeats, sharding, simhash
+from leafmill.llm import minhash, mixing, packing, repeats, sharding, simhash
 from leafmill.llm import queries as q
 from leafmill.llm.graph import components
 
@@ -146,6 +146,66 @@ def test_keep_first(docs, rows):
     assert sum(r.doc_id is None for r in out.collect()) == 2
 
 
+def grams_by_hand(text, k=5):
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(" ".join(w[i : i + k]) for i in range(len(w) - k + 1)) or frozenset([" ".join(w)] if w else [])
+
+
+def classes_by_hand(rows):
+    """The component_id of each row (doc_id, text) by all pairs of 5-word shingle sets, and the links' similarities."""
+    grams = [grams_by_hand(r[1]) for r in rows]
+    root, links = list(range(len(rows))), []
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(grams):
+        for j in range(i):
+            b = grams[j]
+            if a == b or (a and b and min(len(a), len(b)) / max(len(a), len(b)) >= 0.8 and len(a & b) / len(a | b) >= 0.8):
+                links.append(len(a & b) / len(a | b) if a else 1.0)
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return [least.get(find(i)) for i in range(len(rows))], links
+
+
+def edited_copies():
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghiklmnoprst", k=rng.randint(3, 8))) for _ in range(3000)]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 400))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            w = list(base)
+            for _ in range(rng.randint(1, max(1, len(w) // 40))):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            texts.append(" ".join(w).upper())
+    return list(enumerate(texts))
+
+
+def test_stage_links_edited_copies(spark, docs, rows):
+    copies = edited_copies()
+    want, links = classes_by_hand(copies)
+    assert sum(s < 0.9 for s in links) > 20
+    frame = spark.createDataFrame([(*r, "en", "s0", len(r[1])) for r in copies], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, frame, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+    want, _ = classes_by_hand(rows)
+    got = collections.Counter(tuple(r) for r in minhash.near_duplicates(docs).collect())
+    assert got == collections.Counter((r[0], c) for r, c in zip(rows, want, strict=True))
+
+
+def test_stage_links_nothing(nothing):
+    assert minhash.near_duplicates(nothing).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(200)] + [(500 + rng.randint(0, 60), 500 + rng.randint(0, 60)) for _ in range(40)] + [(900, i) for i in range(901, 980)]
