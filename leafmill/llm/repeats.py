@@ -33,10 +33,28 @@ from .common import materialize, only, partitions, release, tune
 LENGTH, KMER, BLOCK = 400, 128, 100
 SPAN = LENGTH - KMER + 1
 CROWD, CHUNK = 4_000, 1 << 20
+#: Bits of a packed key that hold a place; longer texts are scanned in slices.
 _PLACE = 23
 
 
 def contexts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As _contexts, in slices of 2 ** _PLACE bytes that share LENGTH - 1: every window is in one slice.
+
+    A context that a slice's end parts becomes two under one anchor.
+    """
+    limit = 1 << _PLACE
+    if len(data) <= limit:
+        return _contexts(data, off)
+    parts = [_contexts(data[:0], off[:1])]
+    for k, (start, end) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+        for at in range(start, end - LENGTH + 1, limit - LENGTH + 1):
+            some = data[at : min(at + limit, end)]
+            row, begin, *rest = _contexts(some, np.array([0, len(some)]))
+            parts.append((row + k, begin + at - start, *rest))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _contexts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, first window (from the row's start), number of windows, anchor hash and hash of each context."""
     n = len(data) - LENGTH + 1
     size = np.diff(off)

@@ -41,6 +41,33 @@ def test_repeats(docs, rows, crowd, monkeypatch):
     assert got == collections.Counter((r[0], *w) for r, w in zip(kept, removed_by_hand([r[1] for r in kept]), strict=True))
 
 
+def test_contexts_of_long_texts(monkeypatch):
+    rng = random.Random(12)
+    shared = [bytes(rng.choices(b"abcdefgh", k=n)) for n in (400, 900, 1500)]
+    filler = lambda: bytes(rng.choices(b"ijklmnop", k=rng.randint(300, 2500)))
+    texts = [b"".join(x for s in rng.sample(shared, 3) for x in (filler(), s)) for _ in range(5)] + [b"short", shared[2][:1024]]
+    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    for place in (23, 10):
+        monkeypatch.setattr(repeats, "_PLACE", place)
+        anchors, seen = collections.defaultdict(set), collections.Counter()
+        for row, begin, number, anchor, _ in zip(*(x.tolist() for x in repeats.contexts(np.frombuffer(b"".join(texts), np.uint8), off)), strict=True):
+            for i in range(begin, begin + number):
+                seen[row, i] += 1
+                anchors[texts[row][i : i + 400]].add(anchor)
+        assert seen == collections.Counter({(row, i): 1 for row, t in enumerate(texts) for i in range(len(t) - 399)})
+        assert all(len(a) == 1 for a in anchors.values())
+
+
+def test_repeats_beyond_eight_mebibytes(spark):
+    rng = random.Random(13)
+    shared = "".join(rng.choices("abcdefgh", k=1000))
+    long = "".join(rng.choices("ijklmnop", k=8_500_000)) + shared + "".join(rng.choices("ijklmnop", k=500_000))
+    frame = spark.createDataFrame([(1, long), (2, f"1{shared}2")], "doc_id long, text string")
+    want = {1: hashlib.sha256(long.replace(shared, "").encode()).hexdigest(), 2: hashlib.sha256(b"12").hexdigest()}
+    got = repeats.remove_repeats(frame).collect()
+    assert sorted((r.doc_id, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == [(k, 1000, 1, want[k]) for k in (1, 2)]
+
+
 def test_transforms_merge():
     rng = random.Random(7)
     line = bytes(rng.choices(b"abcdef ", k=900))
