@@ -1,10 +1,12 @@
 """Secret scans: three fixed patterns, and a randomness battery over long tokens with false-discovery control.
 
-The battery takes maximal runs of token characters of MIN_TOKEN or more with a digit. It infers an encoding, tests
+The battery takes maximal runs of token characters of MIN_TOKEN or more. It infers an encoding, tests
 that the symbols look uniform and independent in it (chi-squared, runs, lag-1 serial correlation; Bonferroni), and
 weighs the run against ordinary text: the likelihood ratio of uniform symbols to a text model is an e-value, whose
-inverse bounds the p-value of "this is text". Longer tokens carry more evidence, so the p-values of a document go
-through a weighted Benjamini-Hochberg step with weights in proportion to length. Each document is judged by itself.
+inverse bounds the p-value of "this is text"; runs without a digit or small letter are weighed as small letters, since
+titles are text. Longer tokens carry more evidence, so the p-values of a document go
+through a weighted Benjamini-Hochberg step with weights in proportion to length; runs without
+a digit, most of which are words, are a family of their own. Each document is judged by itself.
 
 Positions are code points of the whole text, ends exclusive. Null and empty texts have no spans.
 """
@@ -39,7 +41,7 @@ _TOKEN = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmn
 _DIGITS = np.isin(np.arange(256), list(b"0123456789"))
 _DIGIT, _LOW, _UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Alphabets from the narrowest to the widest; the first that holds all symbols is the encoding.
-ENCODINGS = (("hex", _DIGIT + "abcdef"), ("HEX", _DIGIT + "ABCDEF"), ("base32", _UP + "234567"), ("lower36", _DIGIT + _LOW), ("upper36", _DIGIT + _UP), ("base62", _UP + _LOW + _DIGIT), ("base64", _UP + _LOW + _DIGIT + "+/"), ("base64url", _UP + _LOW + _DIGIT + "-_"), ("mixed", _UP + _LOW + _DIGIT + "+/-_"))
+ENCODINGS = (("hex", _DIGIT + "abcdef"), ("HEX", _DIGIT + "ABCDEF"), ("lower", _LOW), ("upper", _UP), ("letters", _UP + _LOW), ("base32", _UP + "234567"), ("lower36", _DIGIT + _LOW), ("upper36", _DIGIT + _UP), ("base62", _UP + _LOW + _DIGIT), ("base64", _UP + _LOW + _DIGIT + "+/"), ("base64url", _UP + _LOW + _DIGIT + "-_"), ("mixed", _UP + _LOW + _DIGIT + "+/-_"))
 #: Text model: chances of the next class (lower, upper, digit, other) after each, and at the start.
 _CLASSES = "luds"
 _NEXT = {"l": (0.90, 0.03, 0.03, 0.04), "u": (0.55, 0.35, 0.05, 0.05), "d": (0.06, 0.04, 0.80, 0.10), "s": (0.50, 0.20, 0.25, 0.05)}
@@ -108,7 +110,8 @@ def random_tokens(tokens: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
         if len(body) < MIN_TOKEN or set(body) <= set(_DIGIT):
             continue
         alphabet = next(a for _, a in ENCODINGS if set(body) <= set(a))
-        p = text_p(body, alphabet) if uniform_p(body, alphabet) >= UNIFORM_LEVEL else 1.0
+        plain = body.lower() if body == body.upper() and not set(body) & set(_DIGIT) else body
+        p = text_p(plain, alphabet) if uniform_p(body, alphabet) >= UNIFORM_LEVEL else 1.0
         shift = token.index(body)
         judged.append((start + shift, start + shift + len(body), p))
     if not judged:
@@ -158,12 +161,11 @@ def scan(data: np.ndarray, off: np.ndarray) -> dict[int, list[tuple[int, int, in
                     found.setdefault(row, []).append((m.start(), m.end(), kind))
     for start, end in _runs(_HEX[data], off, HEX_SIZE):
         add(row_of(start), start, end, 2)
-    tokens: dict[int, list[tuple[int, int, str]]] = {}
+    tokens: dict[tuple[int, bool], list[tuple[int, int, str]]] = {}
     for start, end in _runs(_TOKEN[data], off, MIN_TOKEN):
-        if _DIGITS[data[start:end]].any():
-            row = row_of(start)
-            tokens.setdefault(row, []).append((start - int(off[row]), end - int(off[row]), raw[start:end].decode("ascii")))
-    for row, some in tokens.items():
+        row = row_of(start)
+        tokens.setdefault((row, bool(_DIGITS[data[start:end]].any())), []).append((start - int(off[row]), end - int(off[row]), raw[start:end].decode("ascii")))
+    for (row, _), some in tokens.items():
         base = found.get(row, [])
         for start, end in random_tokens(some):
             if not any(s <= start and end <= e for s, e, _ in base):

@@ -84,6 +84,21 @@ def test_random_tokens_and_words():
     assert not any(secrets.random_tokens([(0, len(t), t)]) for t in plain)
 
 
+def test_random_letters_without_digits():
+    import pyarrow as pa
+
+    from leafmill.llm import wordscan as ws
+
+    rng = random.Random(2)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    for letters in (upper + lower, upper, lower):
+        texts = ["see " + "".join(rng.choices(letters, k=40)) + " there" for _ in range(50)]
+        found = secrets.scan(*ws.buffers(pa.array(texts)))
+        assert sum(found.get(i) == [(4, 44, 3)] for i in range(50)) >= 45
+    plain = ["INTERNATIONALIZATIONANDLOCALIZATION", "MAX_CONNECTION_RETRIES_ALLOWED", "getUserAccountInformationFromDatabase", "usr/share/documentation/packages", "Donaudampfschifffahrtsgesellschaft", "-" * 60]
+    assert not secrets.scan(*ws.buffers(pa.array(plain)))
+
+
 def test_masking(docs):
     before = {r.doc_id: r for r in docs.collect()}
     out = secrets.mask_documents(docs)
