@@ -5,10 +5,12 @@ are the same as LAGS bytes or fewer before, which tells the filters of repetitio
 STRIDE and so overlap and cover the whole text. Each chunk's embeddings go through learned filters; the largest
 response of each filter over all chunks (global max-pooling), a hidden layer and a sigmoid give one probability.
 
-The network is fitted by Adam on the driver to at most SAMPLE labelled rows, first in hash order of doc_id, whose
-crc32(doc_id) mod 5 is not 0; texts train whole up to FIT_BYTES bytes and by random windows of that size beyond.
-Scoring reads every byte of every text. Labels, language, source and doc_id are never inputs. Null and empty texts
-have one chunk of zeros; with no labelled rows of both kinds the score is the share of good rows (0.5 for none).
+The network is fitted by Adam on the driver to whole texts of at most SAMPLE labelled rows and SAMPLE_BYTES bytes, first
+in hash order of doc_id, whose crc32(doc_id) mod 5 is not 0. Scoring reads every byte of every text, a long one in
+windows that share a chunk's overlap. Labels, language, source and doc_id are never inputs. Null and empty texts have
+one chunk of zeros; with no labelled rows of both kinds the score is the share of good rows (0.5 for none). Repeated
+rows have one score; a doc_id that is labelled twice counts once, as the worse; a score at the cut is predicted good;
+extra columns are not seen; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordscan as ws
-from .common import only, tune
+from .common import bounded_sample, only, text_or_empty, tune
 
-#: Bound of the labelled sample, and of a text's bytes in one training step.
-SAMPLE, FIT_BYTES = 3000, 6000
+#: Bounds of the labelled sample: its rows, and the bytes of their texts in all.
+SAMPLE, SAMPLE_BYTES = 3000, 64 << 20
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN, PAD = 6, 16, 8, 24, 12, 16
 MATCH, LAGS = 8, 32
 EPOCHS, BATCH, RATE, DECAY, SEED = 10, 32, 0.004, 1e-4, 11
@@ -140,11 +142,7 @@ def train(texts: list[bytes], good: np.ndarray, epochs: int = EPOCHS, seed: int
         rate = RATE * (1 - epoch / epochs) ** 0.5
         for i in range(0, len(order), BATCH):
             rows = order[i : i + BATCH]
-            some = []
-            for r in rows:
-                extra = len(texts[r]) - FIT_BYTES
-                begin = int(rng.integers(0, extra + 1)) if extra > 0 else 0
-                some.append(texts[r][begin : begin + FIT_BYTES])
+            some = [texts[r] for r in rows]
             data = np.frombuffer(b"".join(some), np.uint8)
             framed, at = chunks(data, np.concatenate([[0], np.cumsum([len(t) for t in some])]))
             top, arg = pooled(net, framed, at, True)
@@ -182,9 +180,9 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Net:
     """Fit on SAMPLE labelled rows outside fold 0."""
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").where(fold() != 0)
-    marked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE).dropDuplicates(["doc_id"])
-    rows = only(docs, "doc_id", "text").join(F.broadcast(marked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = only(docs, "doc_id", "text").join(marked, "doc_id").select("doc_id", text_or_empty().alias("text"), "quality")
+    rows = bounded_sample(known, "doc_id", "text", SAMPLE, SAMPLE_BYTES)
     return train([r["text"].encode() for r in rows], np.array([r["quality"] for r in rows]))
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.leafmill.shared.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="leafmill-")
         spark.conf.set("spark.leafmill.shared.dir", root)
     return root
@@ -91,6 +94,28 @@ def ranked(df: DataFrame, group: list[str], order: list[str], *, size: str | Non
     return out.drop("_part", "_p", "_n0", "_s0", *[f"_g_{c}" for c in group])
 
 
+def bounded_sample(rows: DataFrame, key: str, value: str, most: int, most_bytes: int) -> list[Row]:
+    """Rows (key, value, ...) of up to `most` keys, first in hash order, one row a key; null keys are left out.
+
+    Keys are taken in that order as long as their values have most_bytes in all; one that would go beyond is passed
+    over. Sizes are collected first (`most` rows), then the values of the keys taken.
+    """
+    sized = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.octet_length(value)).alias("_size"))
+    taken, total = [], 0
+    for r in sized.orderBy(F.xxhash64(key), key).limit(most).collect():
+        if total + (r["_size"] or 0) <= most_bytes:
+            total += r["_size"] or 0
+            taken.append((r[key],))
+    if not taken:
+        return []
+    spark = rows.sparkSession
+    ids = spark.createDataFrame(taken, rows.select(key).schema)
+    others = [c for c in rows.columns if c not in (key, value)]
+    # Of a key's rows one of the smallest size is taken.
+    one = rows.join(F.broadcast(ids), key, "left_semi").groupBy(key).agg(F.min(F.struct(F.octet_length(value).alias("_size"), value, *others)).alias("of"))
+    return sorted(one.select(key, "of.*").drop("_size").collect(), key=lambda r: (zlib.crc32(str(r[key]).encode()), r[key]))
+
+
 _TYPES = {"doc_id": "bigint", "page_id": "bigint", "text": "string", "html": "string", "url": "string", "source": "string"}
 
 

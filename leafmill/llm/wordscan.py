@@ -5,23 +5,41 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-_R = np.uint64(0x9E3779B97F4A7C15)
-_R_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+# Two polynomials modulo the prime 2**31 - 1: modulo 2**64, strings such as Thue and Morse's collide for every base.
+_P = np.uint64((1 << 31) - 1)
+_HALF = np.uint64(31)
+_BASES = (1_304_672_813, 917_364_481)
+_BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, (1 << 31) - 1, (2, 256), dtype=np.uint64)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R**i and R**-i modulo 2**64 for i < n."""
-    if len(_powers[0]) < n:
-        for k, r in enumerate((_R, _R_INV)):
-            step = np.full(max(n, 1 << 16), r, np.uint64)
-            step[0] = 1
-            _powers[k] = np.multiply.accumulate(step)
-    return _powers[0][:n], _powers[1][:n]
+#: Powers kept between calls; longer texts make theirs anew, so that a worker doesn't keep what one long text took.
+_KEPT = 1 << 22
+_powers: np.ndarray = np.ones((4, 1), np.uint32)
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, or the prime itself for zero; for x below 2 ** 62."""
+    x = (x & _P) + (x >> _HALF)
+    return (x & _P) + (x >> _HALF)
+
+
+def powers(n: int) -> np.ndarray:
+    """Rows: the powers of both bases, then of their inverses, modulo the prime, for exponents below n."""
+    global _powers
+    out = _powers
+    if out.shape[1] < n:
+        size = max(n, 1 << 16)
+        out = np.empty((4, size), np.uint32)
+        for k, base in enumerate((*_BASES, *(pow(b, -1, int(_P)) for b in _BASES))):
+            out[k, 0], have = 1, 1
+            while have < size:
+                more = min(have, size - have)
+                out[k, have : have + more] = _residue(out[k, :more].astype(np.uint64) * np.uint64(pow(base, have, int(_P))))
+                have += more
+        if size <= _KEPT:
+            _powers = out
+    return out[:, :n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,16 +90,22 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running sums for range_hash, of length n + 1."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(len(data))[0], out=out[1:])
+    """Running sums of both polynomials for range_hash, 2 x (n + 1)."""
+    out = np.zeros((2, len(data) + 1), np.uint64)
+    power = powers(len(data))
+    for k in range(2):
+        np.cumsum(_residue(_BYTE[k][data] * power[k]), out=out[k, 1:])
     return out
 
 
 def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end]; equal bytes have equal hashes wherever they stand."""
-    inverse = powers(len(sums))[1]
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    inverse = powers(sums.shape[1])[2:]
+    halves = []
+    for k in range(2):
+        x = _residue(_residue(sums[k][ends] - sums[k][starts]) * inverse[k][starts])
+        halves.append(np.where(x == _P, np.uint64(0), x))
+    return mix(mix((halves[0] << np.uint64(32)) | halves[1]) + (ends - starts).astype(np.uint64))
 
 
 def rows_of(first: np.ndarray) -> np.ndarray:
