@@ -119,10 +119,22 @@ def head(net: Net, top: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return pool, hidden, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def pooled_long(net: Net, framed: np.ndarray, blocks: int = 1 << 17) -> np.ndarray:
+    """As pooled, for one text, in windows of `blocks` that share what a chunk reaches beyond its first block."""
+    reach = WIDTH // STRIDE - 1
+    tops = []
+    for at in range(0, max(1, len(framed) // STRIDE - reach), blocks):
+        some = framed[at * STRIDE : (at + blocks + reach) * STRIDE]
+        tops.append(pooled(net, some, np.array([0, len(some) // STRIDE]))[0])
+    return np.maximum.reduce(tops)
+
+
 def scores(net: Net, data: np.ndarray, off: np.ndarray) -> np.ndarray:
     if net.constant is not None:
         return np.full(len(off) - 1, net.constant)
-    return head(net, pooled(net, *chunks(data, off))[0])[2].astype(np.float64)
+    framed, at = chunks(data, off)
+    top = pooled_long(net, framed) if len(at) == 2 else pooled(net, framed, at)[0]
+    return head(net, top)[2].astype(np.float64)
 
 
 def train(texts: list[bytes], good: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Net:

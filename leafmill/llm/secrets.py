@@ -1,14 +1,16 @@
 """Secret scans: three fixed patterns, and a randomness battery over long tokens with false-discovery control.
 
-The battery takes maximal runs of token characters of MIN_TOKEN or more. It infers an encoding, tests
-that the symbols look uniform and independent in it (chi-squared, runs, lag-1 serial correlation; Bonferroni), and
-weighs the run against ordinary text: the likelihood ratio of uniform symbols to a text model is an e-value, whose
-inverse bounds the p-value of "this is text"; runs without a digit or small letter are weighed as small letters, since
-titles are text. Longer tokens carry more evidence, so the p-values of a document go
-through a weighted Benjamini-Hochberg step with weights in proportion to length; runs without
+The battery takes maximal runs of token characters of MIN_TOKEN or more. It infers an encoding and tests that the
+symbols look uniform and independent in it (chi-squared, runs, lag-1 serial correlation). Fisher's combination of the
+three p-values and the likelihood ratio of uniform symbols to a text model are e-values against "this is text"; the
+inverse of their product is the token's p-value, and it is 1 where one test alone rules out random symbols. Runs without
+a digit or small letter are weighed as small letters, since titles are text. Longer tokens carry more evidence, so the
+p-values of a document go through a weighted Benjamini-Hochberg step with weights in proportion to length; runs without
 a digit, most of which are words, are a family of their own. Each document is judged by itself.
 
-Positions are code points of the whole text, ends exclusive. Null and empty texts have no spans.
+Positions are code points of the whole text, ends exclusive. Null and empty texts and empty tables have no spans;
+repeated rows have the same spans each; of spans that start together the kind listed first comes first; extra columns
+are carried by mask_documents and not seen otherwise. A text of any length is scanned whole.
 """
 
 from __future__ import annotations
@@ -34,8 +36,8 @@ KINDS = ("assign", "access", "hex", "random")
 MASK = "<secret>"
 
 MIN_TOKEN = 20
-#: Level of each test that the symbols are uniform and independent, and the false-discovery rate.
-UNIFORM_LEVEL, DISCOVERY_RATE = 0.001, 1e-4
+#: Level at which a test rules out random symbols, the shape of the battery's p-values for text, the false-discovery rate.
+UNIFORM_LEVEL, SHAPE, DISCOVERY_RATE = 0.001, 0.1, 1e-4
 _HEX = np.isin(np.arange(256), list(b"0123456789abcdef"))
 _TOKEN = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"))
 _DIGITS = np.isin(np.arange(256), list(b"0123456789"))
@@ -65,8 +67,8 @@ def _chi_tail(x: float, df: int) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def uniform_p(token: str, alphabet: str) -> float:
-    """Smallest p-value of the three tests, times three."""
+def battery(token: str, alphabet: str) -> tuple[float, float, float]:
+    """p-values that the symbols are uniform (chi-squared) and independent (runs, lag-1 serial correlation)."""
     place = {c: i for i, c in enumerate(alphabet)}
     v = np.array([place[c] for c in token])
     n, k = len(v), len(alphabet)
@@ -86,11 +88,24 @@ def uniform_p(token: str, alphabet: str) -> float:
         p_runs = _tail((runs - mean) / math.sqrt(var)) if var > 0 else 1.0
     spread = v.std()
     p_serial = _tail(float(np.mean((v[1:] - v.mean()) * (v[:-1] - v.mean())) / spread**2 * math.sqrt(n))) if spread > 0 else 0.0
-    return min(1.0, 3 * min(p_chi, p_runs, p_serial))
+    return p_chi, p_runs, p_serial
 
 
-def text_p(token: str, alphabet: str) -> float:
-    """Bound on the chance that ordinary text gives a token so much better explained by uniform symbols."""
+def evidence(ps: tuple[float, float, float]) -> float:
+    """Log of the e-value of the battery against text, -inf where one test alone rules out random symbols.
+
+    Fisher's combination of the three is uniform for random symbols and near 0 for text, whose density is taken as
+    SHAPE * p ** (SHAPE - 1).
+    """
+    if min(1.0, 3 * min(ps)) < UNIFORM_LEVEL:
+        return -math.inf
+    half = -sum(math.log(p) for p in ps)
+    combined = math.exp(-half) * (1 + half + half * half / 2)
+    return (1 - SHAPE) * math.log(max(combined, 1e-300)) - math.log(SHAPE)
+
+
+def likelihood(token: str, alphabet: str) -> float:
+    """Log-likelihood ratio of uniform symbols to the text model."""
     total = sum(_LETTERS)
     log_ratio, before = 0.0, "s"
     for c in token:
@@ -99,7 +114,7 @@ def text_p(token: str, alphabet: str) -> float:
         chance *= _LETTERS[(_LOW if now == "l" else _UP).index(c)] / total if now in "lu" else 0.1 if now == "d" else 0.25
         log_ratio += -math.log(len(alphabet)) - math.log(chance)
         before = now
-    return math.exp(-max(0.0, log_ratio))
+    return log_ratio
 
 
 def random_tokens(tokens: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
@@ -111,7 +126,7 @@ def random_tokens(tokens: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
             continue
         alphabet = next(a for _, a in ENCODINGS if set(body) <= set(a))
         plain = body.lower() if body == body.upper() and not set(body) & set(_DIGIT) else body
-        p = text_p(plain, alphabet) if uniform_p(body, alphabet) >= UNIFORM_LEVEL else 1.0
+        p = math.exp(-max(0.0, likelihood(plain, alphabet) + evidence(battery(body, alphabet))))
         shift = token.index(body)
         judged.append((start + shift, start + shift + len(body), p))
     if not judged:

@@ -8,6 +8,7 @@ fingerprint in a larger bucket goes the exact way that is linear in the bucket:
 one-bit neighbours, and those listed together (65 at most, all within two bits) are linked to their smallest.
 
 Null and empty texts have fingerprint zero and are linked like any other; texts of one or two words have one shingle.
+Long texts are hashed in windows that share two words. Empty tables give empty results; extra columns are not seen.
 Equal fingerprints are one node. A null doc_id never becomes a component_id unless its component has no other.
 """
 
@@ -30,6 +31,8 @@ BITS, SHINGLE, SEED, TAU = 64, 3, 42, 2
 #: Fingerprints of the bounded sample that partitions and thresholds are chosen from; results don't depend on it.
 SAMPLE = 2048
 BUCKET = 48
+#: Bytes from which a text is hashed in windows.
+LONG = 4 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -48,7 +51,8 @@ def joined_words(data: np.ndarray, off: np.ndarray) -> tuple[bytes, np.ndarray,
     return out.tobytes(), at[:-1], at[:-1] + size, first
 
 
-def fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+def bit_counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text, how many of its shingles' hashes have each bit, and how many shingles it has."""
     text, starts, ends, first = joined_words(data, off)
     n = np.diff(first)
     count = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
@@ -58,13 +62,25 @@ def fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     last = np.minimum(word + SHINGLE, np.repeat(first[1:], count)) - 1
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(text[i:j], SEED) for i, j in zip(starts[word].tolist(), ends[last].tolist(), strict=True)), np.uint64, len(word))
-    out = np.zeros(len(n), np.uint64)
+    sums = np.zeros((len(n), BITS), np.int64)
     some = np.flatnonzero(count)
     if len(some):
         bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.add.reduceat(bits, begin[some], axis=0, dtype=np.int32)
-        out[some] = np.packbits(sums * 2 > count[some][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+        sums[some] = np.add.reduceat(bits, begin[some], axis=0, dtype=np.int32)
+    return sums, count
+
+
+def fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    if len(off) == 2 and len(data) > LONG:
+        sums, count = np.zeros((1, BITS), np.int64), np.zeros(1, np.int64)
+        for k, some in enumerate(ws.word_windows(data, SHINGLE - 1)):
+            more, n = bit_counts(some, np.array([0, len(some)]))
+            # A window that ends the text may have no shingle of its own beyond what the one before had.
+            if not k or len(ws.words(some, np.array([0, len(some)]))[0]) >= SHINGLE:
+                sums, count = sums + more, count + n
+    else:
+        sums, count = bit_counts(data, off)
+    return np.packbits(sums * 2 > count[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:

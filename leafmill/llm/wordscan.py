@@ -74,6 +74,37 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
         i = j
 
 
+def word_windows(data: np.ndarray, overlap: int = 0, limit: int = 4 << 20):
+    """Slices of one text of some `limit` bytes that end after a word; each begins with the last `overlap` words of the
+    one before, so that every run of overlap + 1 words is whole in one slice alone. A longer word stays whole.
+    """
+    start, fresh = 0, 0
+    while True:
+        end = min(fresh + limit, len(data))
+        while end < len(data):
+            stop = np.flatnonzero(SPACE[data[end : end + limit]])
+            if len(stop):
+                end += int(stop[0])
+                break
+            end = min(end + limit, len(data))
+        yield data[start:end]
+        if end >= len(data):
+            return
+        start = fresh = end
+        if overlap:
+            # Enough words before the end, looked for in steps that double.
+            back = 256
+            while True:
+                begin = max(0, end - back)
+                starts = words(data[begin:end], np.array([0, end - begin]))[0] + begin
+                if begin and SPACE[data[begin - 1]] == SPACE[data[begin]] and not SPACE[data[begin]]:
+                    starts = starts[1:]
+                if len(starts) >= overlap or not begin:
+                    break
+                back *= 2
+            start = int(starts[-overlap:][0]) if len(starts) else end
+
+
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes other than white space, and the index of each row's first word (n + 1)."""
     if not len(data):
