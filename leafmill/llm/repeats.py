@@ -1,26 +1,35 @@
-"""Suffix-array dedup: bytes covered by strings of LENGTH bytes that start in more than one place.
+"""Suffix-array dedup: bytes covered by strings that start in more than one place.
 
-1. Anchors. Every LENGTH-byte window has an anchor: the leftmost smallest of the hashes of its KMER-byte strings. A
-   run of windows with one anchor is a context of fewer than 2 * LENGTH bytes. Equal windows have equal anchors at
-   equal distances, so only contexts whose anchor's hash occurs twice or more can hold a repeated window.
+For strings of one length (a Scale):
+
+1. Anchors. Every window of that length has an anchor: the leftmost smallest of the hashes of its strings of `kmer`
+   bytes. A run of windows with one anchor is a context of fewer than twice the length. Equal windows have equal anchors
+   at equal distances, so only contexts whose anchor's hash occurs twice or more can hold a repeated window.
 2. Buckets. Contexts are dealt by their anchor's hash; equal ones become one with its number of copies, counted
-   before the shuffle. Their bytes are fetched once from one text that has them.
-3. Burrows-Wheeler transforms. The contexts of a bucket are split into shards. Over an alphabet of BLOCK-byte blocks
-   each shard's suffixes are sorted and its transform (the block before each suffix) kept; shards are then merged from
-   their transforms alone by refining an interleave: a stable sort of the interleaved symbols orders suffixes by one
-   more block. The places where neighbours part give the common prefixes; after LENGTH / BLOCK rounds an interval
-   without such a place is a set of equal windows, repeated if it has two copies or more.
-4. The repeated windows go back to every text with the context; their union is removed.
-
-A bucket of more than CROWD contexts under one anchor is not gathered: its windows are counted by two 64-bit hashes,
-with partial sums before the shuffle. Null texts are empty; texts below LENGTH bytes lose nothing; repeated rows are
-separate documents, so texts of LENGTH or more lose everything. Block and window identity rests on 64-bit hashes.
+   before the shuffle. Their bytes are fetched once from one text that has them. The contexts of an anchor that has
+   more than CROWD are dealt anew, window by window, by an anchor under another hash; so a frequent string whose
+   surroundings differ is spread over as many buckets, and what stays together has more than one string in common.
+3. Burrows-Wheeler transforms. The contexts of a bucket are split into shards of SHARD bytes. Over an alphabet of
+   blocks of bytes each shard's suffixes are sorted and its transform (the block before each suffix) kept; shards are
+   then merged, two by two, from their transforms alone by refining an interleave: a stable sort of the interleaved
+   symbols orders suffixes by one more block. In the last merge the places where neighbours part give the common
+   prefixes; after length / block rounds an interval without such a place is a set of equal windows, repeated if it
+   has two copies or more.
+4. The repeated windows go back to every text with the context; their union is the text's repeated bytes.
+
+It is done twice: for PASSAGE over distinct texts, and for WHOLE over the repeated stretches that this has found, as
+every string of the longer kind lies in one of them.
+
+Null texts are empty; texts below the length lose nothing; repeated rows are separate documents, so that all they have
+is repeated if it is long enough. Ties don't matter, as all copies are treated alike. Empty tables give empty results;
+extra columns are not seen. Block, context and text identity rests on hashes of 62 bits and more.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,50 +37,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordscan as ws
-from .common import materialize, only, partitions, release, tune
+from .common import materialize, only, partitions, release, text_or_empty, tune
+
+
+@dataclass(frozen=True)
+class Scale:
+    """Strings of `length` bytes, with anchors of `kmer` bytes and a transform over blocks of `block` bytes."""
+
+    length: int
+    kmer: int
+    block: int
 
-LENGTH, KMER, BLOCK = 400, 128, 100
-SPAN = LENGTH - KMER + 1
-CROWD, CHUNK = 4_000, 1 << 20
+    @property
+    def span(self) -> int:
+        return self.length - self.kmer + 1
+
+
+WHOLE, PASSAGE = Scale(400, 128, 100), Scale(256, 96, 64)
+#: Words from which a repeated stretch counts as a passage.
+PASSAGE_WORDS = 50
+CROWD, CHUNK, SHARD = 4_000, 1 << 20, 1 << 19
+#: How often contexts of a crowded anchor are dealt anew; what is crowded still is merged as it is.
+LEVELS = 3
 #: Bits of a packed key that hold a place; longer texts are scanned in slices.
 _PLACE = 23
 
 
-def contexts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As _contexts, in slices of 2 ** _PLACE bytes that share LENGTH - 1: every window is in one slice.
+def contexts(data: np.ndarray, off: np.ndarray, scale: Scale, salt: int = 0) -> tuple[np.ndarray, ...]:
+    """As _contexts, in slices of 2 ** _PLACE bytes that share length - 1: every window is in one slice.
 
     A context that a slice's end parts becomes two under one anchor.
     """
     limit = 1 << _PLACE
     if len(data) <= limit:
-        return _contexts(data, off)
-    parts = [_contexts(data[:0], off[:1])]
+        return _contexts(data, off, scale, salt)
+    parts = [_contexts(data[:0], off[:1], scale, salt)]
     for k, (start, end) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-        for at in range(start, end - LENGTH + 1, limit - LENGTH + 1):
+        for at in range(start, end - scale.length + 1, limit - scale.length + 1):
             some = data[at : min(at + limit, end)]
-            row, begin, *rest = _contexts(some, np.array([0, len(some)]))
+            row, begin, *rest = _contexts(some, np.array([0, len(some)]), scale, salt)
             parts.append((row + k, begin + at - start, *rest))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _contexts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _contexts(data: np.ndarray, off: np.ndarray, scale: Scale, salt: int) -> tuple[np.ndarray, ...]:
     """Row, first window (from the row's start), number of windows, anchor hash and hash of each context."""
-    n = len(data) - LENGTH + 1
-    size = np.diff(off)
-    count = np.maximum(size - LENGTH + 1, 0)
+    n = len(data) - scale.length + 1
+    count = np.maximum(np.diff(off) - scale.length + 1, 0)
     if n <= 0 or not count.any():
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     sums = ws.prefix_hash(data)
-    at = np.arange(len(data) - KMER + 1)
-    kmers = ws.range_hash(sums, at, at + KMER)
+    at = np.arange(len(data) - scale.kmer + 1)
+    kmers = ws.range_hash(sums, at, at + scale.kmer)
+    if salt:
+        kmers = ws.mix(kmers ^ ws.mix(np.full(1, salt, np.uint64)))
     packed = (kmers & ~np.uint64((1 << _PLACE) - 1)) | at.astype(np.uint64)
-    blocks = -(-len(packed) // SPAN)
-    table = np.full(blocks * SPAN, np.iinfo(np.uint64).max, np.uint64)
+    span = scale.span
+    blocks = -(-len(packed) // span)
+    table = np.full(blocks * span, np.iinfo(np.uint64).max, np.uint64)
     table[: len(packed)] = packed
-    table = table.reshape(blocks, SPAN)
+    table = table.reshape(blocks, span)
     upto = np.minimum.accumulate(table, axis=1).reshape(-1)
     onward = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    least = np.minimum(onward[:n], upto[SPAN - 1 : SPAN - 1 + n])
+    least = np.minimum(onward[:n], upto[span - 1 : span - 1 + n])
     start = np.concatenate([[0], np.cumsum(count)])
     window = np.arange(start[-1]) + np.repeat(off[:-1] - start[:-1], count)
     least = least[window]
@@ -80,7 +108,7 @@ def _contexts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     begin = window[first]
     row = np.searchsorted(off, begin, "right") - 1
     anchor = kmers[(least[first] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)]
-    return row, begin - off[row], number, anchor, ws.range_hash(sums, begin, begin + number + LENGTH - 1)
+    return row, begin - off[row], number, anchor, ws.range_hash(sums, begin, begin + number + scale.length - 1)
 
 
 def stable_order(symbols: np.ndarray) -> np.ndarray:
@@ -98,28 +126,31 @@ class Transform:
         self.symbols, self.where = symbols, where
 
 
-def transform(symbols: np.ndarray, off: np.ndarray) -> Transform:
+def transform(symbols: np.ndarray, off: np.ndarray, block: int) -> Transform:
     """From the block number (1 up) at each place and the strings' first places: sorted to the end of every string.
 
-    Each string is BLOCK interleaved strings of blocks; the BLOCK places past its last block are their ends.
+    Each string is `block` interleaved strings of blocks; the places past its last whole block are their ends.
     """
     n = len(symbols)
     before = np.full(n, 0, np.int64)
-    inside = np.arange(n) - np.repeat(off[:-1], np.diff(off)) >= BLOCK
-    before[inside] = symbols[np.flatnonzero(inside) - BLOCK]
+    inside = np.arange(n) - np.repeat(off[:-1], np.diff(off)) >= block
+    before[inside] = symbols[np.flatnonzero(inside) - block]
     order = np.arange(n)
     ends = symbols == 0
-    deepest = int(np.diff(off).max(initial=0)) // BLOCK + 1
-    for _ in range(deepest):
+    for _ in range(_deepest(off, block)):
         # Whoever has a block before it leads to the suffix one block longer; the ends come first.
         led = order[inside[order]]
         ranked = stable_order(before[led])
-        order = np.concatenate([np.flatnonzero(ends), led[ranked] - BLOCK])
+        order = np.concatenate([np.flatnonzero(ends), led[ranked] - block])
     return Transform(before[order], order)
 
 
-def merge(a: Transform, b: Transform, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave (False: next of a) sorted by `depth` blocks, and where each entry parts from the one before it."""
+def _deepest(off: np.ndarray, block: int) -> int:
+    return int(np.diff(off).max(initial=0)) // block + 1
+
+
+def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray]:
+    """The two as one, sorted by `depth` blocks, and a number for each set of entries with the same blocks there."""
     side = np.concatenate([np.zeros(len(a.symbols), bool), np.ones(len(b.symbols), bool)])
     group = np.zeros(len(side), np.int64)
     for _ in range(depth):
@@ -131,187 +162,228 @@ def merge(a: Transform, b: Transform, depth: int) -> tuple[np.ndarray, np.ndarra
         # Two ends never part; other suffixes part by their first block or by what follows it.
         parts[1:] = (symbols[1:] != symbols[:-1]) | ((group[1:] != group[:-1]) & (symbols[1:] > 0))
         group = np.cumsum(parts)
-    return side, group
+    symbols, where = np.empty(len(side), np.int64), np.empty(len(side), np.int64)
+    symbols[~side], symbols[side] = a.symbols, b.symbols
+    where[~side], where[side] = a.where, b.where
+    return Transform(symbols, where), group
 
 
-def repeated_windows(texts: list[bytes], copies: np.ndarray) -> list[np.ndarray]:
+def repeated_windows(texts: list[bytes], copies: np.ndarray, scale: Scale, shard: int = SHARD) -> list[np.ndarray]:
     """For each context: which of its windows are in the contexts twice or more, copies counted."""
+    block = scale.block
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    at = np.arange(len(data))
     size = np.diff(off)
-    whole = at <= np.repeat(off[1:], size) - BLOCK
-    places = np.flatnonzero(whole)
-    symbols = np.zeros(len(data) + BLOCK * len(texts), np.int64)
-    # The places of each string move on by BLOCK a string, for its ends; those without a whole block become ends.
-    shift = np.repeat(np.arange(len(texts)) * BLOCK, size)
-    _, number = np.unique(ws.range_hash(ws.prefix_hash(data), places, places + BLOCK), return_inverse=True)
-    symbols[places + shift[places]] = number + 1
-    wide = off + np.arange(len(texts) + 1) * BLOCK
-    # A string of m bytes has m - BLOCK + 1 places with a block and BLOCK ends; what is over is cut off.
-    keep = np.ones(len(symbols), bool)
-    last = wide[:-1] + size + 1
-    drop = np.repeat(last, BLOCK - 1) + np.tile(np.arange(BLOCK - 1), len(texts))
-    keep[drop] = False
-    origin = np.flatnonzero(keep)
-    symbols = symbols[keep]
-    narrow = np.concatenate([[0], np.cumsum(size + 1)])
-    half = max(1, len(texts) // 2)
+    places = np.flatnonzero(np.arange(len(data)) <= np.repeat(off[1:], size) - block)
+    _, number = np.unique(ws.range_hash(ws.prefix_hash(data), places, places + block), return_inverse=True)
+    # A string of m bytes has m - block + 1 places with a block, and `block` ends.
+    narrow = off + np.arange(len(texts) + 1)
+    symbols = np.zeros(int(narrow[-1]), np.int64)
+    symbols[places + np.repeat(np.arange(len(texts)), np.maximum(size - block + 1, 0))] = number + 1
+    # Shards of whole strings, two at least.
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(off, np.arange(shard, int(off[-1]), shard)), [len(texts)]]))
+    if len(cuts) == 2:
+        cuts = np.unique(np.array([0, -(-len(texts) // 2), len(texts)]))
     shards = []
-    for lo, hi in ((0, half), (half, len(texts))):
-        t = transform(symbols[narrow[lo] : narrow[hi]], narrow[lo : hi + 1] - narrow[lo])
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        t = transform(symbols[narrow[lo] : narrow[hi]], narrow[lo : hi + 1] - narrow[lo], block)
         t.where = t.where + narrow[lo]
         shards.append(t)
-    side, group = merge(*shards, LENGTH // BLOCK)
-    where = np.empty(len(side), np.int64)
-    where[~side], where[side] = shards[0].where, shards[1].where
-    del origin
-    string = np.searchsorted(narrow, where, "right") - 1
-    is_window = where - narrow[string] <= size[string] - LENGTH
+    if len(shards) == 1:
+        shards.append(Transform(symbols[:0], symbols[:0]))
+    whole = _deepest(narrow, block)
+    while len(shards) > 2:
+        shards = [merge(*shards[k : k + 2], whole)[0] if k + 1 < len(shards) else shards[k] for k in range(0, len(shards), 2)]
+    last, group = merge(*shards, scale.length // block)
+    string = np.searchsorted(narrow, last.where, "right") - 1
+    is_window = last.where - narrow[string] <= size[string] - scale.length
     total = np.bincount(group[is_window], copies[string[is_window]], minlength=int(group.max(initial=0)) + 1)
     flag = np.zeros(len(symbols), bool)
-    flag[where[is_window]] = total[group[is_window]] > 1.5
-    return [flag[narrow[i] : narrow[i] + size[i] - LENGTH + 1] for i in range(len(texts))]
+    flag[last.where[is_window]] = total[group[is_window]] > 1.5
+    return [flag[narrow[i] : narrow[i] + size[i] - scale.length + 1] for i in range(len(texts))]
 
 
-def _spans(flag: np.ndarray) -> list[int]:
+def _edges(flag: np.ndarray) -> list[int]:
     """Starts and ends, in turn, of the runs of True."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], flag, [False]]).astype(np.int8)))
-    return edge.tolist()
+    return np.flatnonzero(np.diff(np.concatenate([[False], flag, [False]]).astype(np.int8))).tolist()
 
 
-def _rows(done: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
-    columns = list(zip(*done, strict=True)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["anchor", "hash", "spans"])
+Batches = Iterator[pa.RecordBatch]
 
 
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor and hash: whole anchors are gathered up to CHUNK bytes and merged.
+def _marked(scale: Scale) -> Callable[[Batches], Batches]:
+    """Of rows sorted by anchor, whole anchors are gathered up to CHUNK bytes and merged."""
 
-    An anchor with one context needs no merge: its suffixes are an interval each, as wide as its copies.
-    """
-    held: list[tuple[int, int, int, bytes]] = []
-    own: list[tuple[int, int, int, bytes]] = []
-    size = 0
+    def flush(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        flags = repeated_windows([x[3] for x in held], np.array([x[2] for x in held], float), scale)
+        columns = [[x[0] for x in held], [x[1] for x in held], [_edges(f) for f in flags]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["anchor", "hash", "spans"])
 
-    def flush(done: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
+    def run(batches: Batches) -> Batches:
+        held: list[tuple[int, int, int, bytes]] = []
+        size = 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size > CHUNK and held[-1][0] != row[0]:
+                    yield flush(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row[3])
         if held:
-            flags = repeated_windows([x[3] for x in held], np.array([x[2] for x in held], float))
-            done += [(x[0], x[1], _spans(f)) for x, f in zip(held, flags, strict=True)]
-            held.clear()
-        return _rows(done)
-
-    def close(done: list[tuple[int, int, list[int]]]) -> None:
-        nonlocal size
-        if len(own) == 1:
-            anchor, hash_, n, text = own[0]
-            done.append((anchor, hash_, [0, len(text) - LENGTH + 1] if n > 1 else []))
-        else:
-            held.extend(own)
-            size += sum(len(x[3]) for x in own)
-        own.clear()
+            yield flush(held)
 
-    for batch in batches:
-        done: list[tuple[int, int, list[int]]] = []
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if own and own[-1][:2] == row[:2]:
-                continue
-            if own and own[-1][0] != row[0]:
-                close(done)
-                if size > CHUNK:
-                    yield flush(done)
-                    done, size = [], 0
-            own.append(row)
-        if done:
-            yield _rows(done)
-    done = []
-    if own:
-        close(done)
-    if held or done:
-        yield flush(done)
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of crowded contexts by two hashes."""
-    for batch in batches:
-        for anchor, hash_, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            data = np.frombuffer(text, np.uint8)
-            at = np.arange(len(data) - LENGTH + 1)
-            sums = ws.prefix_hash(data)
-            one, two = ws.range_hash(sums, at, at + LENGTH), ws.range_hash(sums, at, at + LENGTH // 2)
-            m = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([anchor] * m, pa.int64()), pa.array([hash_] * m, pa.int64()), pa.array(at.astype(np.int32)), pa.array([n] * m, pa.int64())], ["one", "two", "anchor", "hash", "at", "copies"])
+    return run
 
 
-def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in ws.pieces(batch, limit=1 << 19):
-            data, off = ws.buffers(part.column("text"))
-            row, begin, number, anchor, hash_ = contexts(data, off)
-            key = part.column("key").take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([key, pa.array(begin.astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(hash_.view(np.int64))], ["key", "begin", "number", "anchor", "hash"])
+def _anew(scale: Scale, level: int) -> Callable[[Batches], Batches]:
+    """The contexts of crowded anchors cut into contexts of anchors under the hash of this level."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for part in ws.pieces(batch, "bytes"):
+                data, off = ws.buffers(part.column("bytes"))
+                row, begin, number, anchor, hash_ = contexts(data, off, scale, level)
+                parent = part.take(pa.array(row))
+                raw = data.tobytes()
+                start = (off[row] + begin).tolist()
+                some = [raw[i : i + n + scale.length - 1] for i, n in zip(start, number.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([parent.column("anchor"), parent.column("hash"), pa.array(begin.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(hash_.view(np.int64)), parent.column("copies"), pa.array(some, pa.binary())], ["of_anchor", "of_hash", "at", "anchor", "hash", "copies", "bytes"])
 
+    return run
 
-def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _marks(fetched: DataFrame, scale: Scale, level: int = 1) -> DataFrame:
+    """anchor, hash, spans (starts and ends of runs of repeated windows) of contexts (anchor, hash, copies, bytes)."""
+    spark = fetched.sparkSession
+    crowded = materialize(fetched.groupBy("anchor").count().where(F.col("count") > CROWD).select("anchor"), "crowded")
+    anew = level <= LEVELS and not crowded.isEmpty()
+    calm = fetched.join(crowded, "anchor", "left_anti") if anew else fetched
+    calm = calm.select("anchor", "hash", "copies", "bytes").repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "hash")
+    marks = calm.mapInArrow(_marked(scale), "anchor long, hash long, spans array<int>").where(F.size("spans") > 0)
+    if anew:
+        schema = "of_anchor long, of_hash long, at int, anchor long, hash long, copies long, bytes binary"
+        parts = materialize(fetched.join(crowded, "anchor", "left_semi").select("anchor", "hash", "copies", "bytes").mapInArrow(_anew(scale, level), schema), "anew")
+        below = _marks(materialize(parts.groupBy("anchor", "hash").agg(F.sum("copies").alias("copies"), F.first("bytes").alias("bytes")), "below"), scale, level + 1)
+        back = parts.select("of_anchor", "of_hash", "at", "anchor", "hash").join(below, ["anchor", "hash"])
+        shifted = F.transform("spans", lambda s: s + F.col("at"))
+        again = back.groupBy(F.col("of_anchor").alias("anchor"), F.col("of_hash").alias("hash")).agg(F.flatten(F.collect_list(shifted)).alias("spans"))
+        marks = marks.unionByName(again)
+    return materialize(marks, "marks")
+
+
+def _found(scale: Scale) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for part in ws.pieces(batch, "data", limit=1 << 19):
+                row, begin, number, anchor, hash_ = contexts(*ws.buffers(part.column("data")), scale)
+                of = part.select(["key", "n"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*of.columns, pa.array(begin.astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(hash_.view(np.int64))], ["key", "n", "begin", "number", "anchor", "hash"])
+
+    return run
+
+
+def _fetched(scale: Scale) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for data, wanted in zip(batch.column("data"), batch.column("wanted"), strict=True):
+                raw = data.as_py()
+                rows = [(w["anchor"], w["hash"], w["copies"], raw[w["begin"] : w["begin"] + w["number"] + scale.length - 1]) for w in wanted.as_py()]
+                for k in range(0, len(rows), 4096):
+                    columns = zip(*rows[k : k + 4096], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["anchor", "hash", "copies", "bytes"])
+
+    return run
+
+
+def _united(scale: Scale) -> Callable[[Batches], Batches]:
+    """The union of a text's repeated windows: starts and ends, in turn, of its repeated bytes."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            out = []
+            for marks in batch.column("marks"):
+                runs: list[int] = []
+                for start, end in sorted((m["begin"] + m["spans"][k], m["begin"] + m["spans"][k + 1] - 1 + scale.length) for m in marks.as_py() for k in range(0, len(m["spans"]), 2)):
+                    if runs and start <= runs[-1]:
+                        runs[-1] = max(runs[-1], end)
+                    else:
+                        runs += (start, end)
+                out.append(runs)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(pa.int32()))], ["key", "runs"])
+
+    return run
+
+
+def repeated(texts: DataFrame, scale: Scale) -> DataFrame:
+    """key, runs of each of texts (key, data, n: how often it is there) with bytes in strings that start elsewhere too."""
+    found = materialize(texts.select("key", "data", "n").mapInArrow(_found(scale), "key binary, n long, begin int, number int, anchor long, hash long"), "contexts")
+    # Written, so that the join has an exchange of its own on either side, whose large partitions Spark can split.
+    often = materialize(found.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "often")
+    live = materialize(found.join(often, "anchor", "left_semi"), "live")
+    release(found, often)
+    # One context for each hash: its copies, and one text and place to fetch it from.
+    distinct = live.groupBy("anchor", "hash").agg(F.sum("n").alias("copies"), F.min(F.struct("key", "begin", "number")).alias("at"))
+    wanted = distinct.groupBy("at.key").agg(F.collect_list(F.struct("anchor", "hash", "copies", F.col("at.begin").alias("begin"), F.col("at.number").alias("number"))).alias("wanted"))
+    fetched = materialize(texts.select("key", "data").join(wanted, "key").select("data", "wanted").mapInArrow(_fetched(scale), "anchor long, hash long, copies long, bytes binary"), "fetched")
+    marks = _marks(fetched, scale)
+    release(fetched)
+    hits = live.select("key", "begin", "anchor", "hash").join(marks, ["anchor", "hash"]).groupBy("key").agg(F.collect_list(F.struct("begin", "spans")).alias("marks"))
+    out = materialize(hits.mapInArrow(_united(scale), "key binary, runs array<int>"), "runs")
+    release(live, marks)
+    return out
+
+
+def _stretches(batches: Batches) -> Batches:
+    """The repeated stretches that are long enough to hold a longer string, each under its text's key and its start."""
     for batch in batches:
-        out: list[tuple] = []
-        for text, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
-            raw = text.as_py().encode()
-            for w in wanted.as_py():
-                out.append((w["anchor"], w["hash"], w["copies"], raw[w["begin"] : w["begin"] + w["number"] + LENGTH - 1]))
-        if out:
-            a, h, c, t = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(t, pa.binary())], ["anchor", "hash", "copies", "bytes"])
+        for key, data, n, runs in zip(*(batch.column(c) for c in ("key", "data", "n", "runs")), strict=True):
+            ends = runs.as_py()
+            raw = data.as_py()
+            some = [(key.as_py() + a.to_bytes(4, "big"), raw[a:b], n.as_py()) for a, b in zip(ends[::2], ends[1::2], strict=True) if b - a >= WHOLE.length]
+            if some:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], ["key", "data", "n"])
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _removed(batches: Batches) -> Batches:
+    """What is left of each text without its repeated bytes, and the passages among its repeated stretches."""
     for batch in batches:
-        n_bytes, n_removed, n_spans, sha = [], [], [], []
-        for text, marks in zip(batch.column("text"), batch.column("marks"), strict=True):
-            raw = (text.as_py() or "").encode()
-            runs = sorted((m["begin"] + m["spans"][k], m["begin"] + m["spans"][k + 1] - 1 + LENGTH) for m in (marks.as_py() or ()) for k in range(0, len(m["spans"]), 2))
+        rows = []
+        for data, stretches, parts in zip(*(batch.column(c) for c in ("data", "stretches", "parts")), strict=True):
+            raw = data.as_py()
             kept, at, spans, removed = [], 0, 0, 0
-            for start, end in runs:
-                if start > at or not spans:
-                    kept.append(raw[at:start])
-                    spans, removed = spans + 1, removed + end - start
-                else:
-                    removed += max(0, end - at)
-                at = max(at, end)
+            gone = sorted((p["start"] + p["runs"][k], p["start"] + p["runs"][k + 1]) for p in (parts.as_py() or ()) for k in range(0, len(p["runs"]), 2))
+            for start, end in gone:
+                kept.append(raw[at:start])
+                spans, removed, at = spans + 1, removed + end - start, end
             kept.append(raw[at:])
-            n_bytes.append(len(raw))
-            n_removed.append(removed)
-            n_spans.append(spans)
-            sha.append(hashlib.sha256(b"".join(kept)).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (n_bytes, n_removed, n_spans)), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            ends = stretches.as_py()
+            passages = sum(len(raw[a:b].split()) >= PASSAGE_WORDS for a, b in zip(ends[::2], ends[1::2], strict=True))
+            rows.append((removed, spans, hashlib.sha256(b"".join(kept)).hexdigest(), passages))
+        columns = zip(*rows, strict=True) if rows else [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["_key", "n_removed", "n_spans", "kept", "n_passages"])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs."""
-    spark = docs.sparkSession
-    tune(spark)
-    texts = only(docs, "doc_id", "text").withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    long = texts.where(F.octet_length("text") >= LENGTH)
-    found = materialize(long.select("key", "text").mapInArrow(_found, "key binary, begin int, number int, anchor long, hash long"), "contexts")
-    # Written, so that the join has an exchange of its own on either side, whose large partitions Spark can split.
-    often = materialize(found.groupBy("anchor").count().where("count > 1").select("anchor"), "often")
-    found_live = materialize(found.join(often, "anchor", "left_semi"), "live")
-    release(found, often)
-    # One context for each hash: its copies, and one text and place to fetch it from.
-    distinct = found_live.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "begin", "number")).alias("at"))
-    wanted = distinct.groupBy("at.key").agg(F.collect_list(F.struct("anchor", "hash", "copies", F.col("at.begin").alias("begin"), F.col("at.number").alias("number"))).alias("wanted"))
-    holders = long.groupBy("key").agg(F.min("doc_id").alias("_first")).join(wanted, "key")
-    sources = long.join(holders.withColumnRenamed("key", "_key"), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_first")))
-    fetched = materialize(sources.select("text", "wanted").mapInArrow(_fetched, "anchor long, hash long, copies long, bytes binary"), "fetched")
-    crowded = materialize(fetched.groupBy("anchor").count().where(F.col("count") > CROWD).select("anchor"), "crowded")
-    calm = fetched.join(crowded, "anchor", "left_anti").select("anchor", "hash", "copies", "bytes")
-    marks = calm.repartition(partitions(spark), "anchor").sortWithinPartitions("anchor", "hash").mapInArrow(_marked, "anchor long, hash long, spans array<int>")
-    if not crowded.isEmpty():
-        every = materialize(fetched.join(crowded, "anchor", "left_semi").dropDuplicates(["anchor", "hash"]).select("anchor", "hash", "copies", "bytes").mapInArrow(_windows, "one long, two long, anchor long, hash long, at int, copies long"), "windows")
-        twice = every.groupBy("one", "two").agg(F.sum("copies").alias("n")).where("n > 1").select("one", "two")
-        single = every.join(twice, ["one", "two"], "left_semi").groupBy("anchor", "hash").agg(F.flatten(F.collect_list(F.array(F.col("at"), F.col("at") + 1))).alias("spans"))
-        marks = marks.unionByName(single)
-    marks = materialize(marks.where(F.size("spans") > 0), "marks")
-    release(fetched)
-    hits = found_live.select("key", "begin", "anchor", "hash").distinct().join(marks, ["anchor", "hash"]).groupBy("key").agg(F.collect_list(F.struct("begin", "spans")).alias("marks"))
-    return texts.join(hits, "key", "left").select("doc_id", "text", "marks").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages for every row of docs.
+
+    n_passages counts repeated stretches of PASSAGE_WORDS words or more, of strings of PASSAGE.length bytes that start
+    in more than one place; they may be shorter than what is removed.
+    """
+    tune(docs.sparkSession)
+    texts = only(docs, "doc_id", "text").withColumn("data", text_or_empty().cast("binary")).withColumn("key", F.unhex(F.md5("data")))
+    long = texts.where(F.octet_length("data") >= PASSAGE.length)
+    unique = materialize(long.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("data").alias("data")), "texts")
+    stretches = repeated(unique, PASSAGE)
+    hit = materialize(unique.join(stretches, "key"), "hit")
+    release(unique)
+    parts = repeated(hit.mapInArrow(_stretches, "key binary, data binary, n long"), WHOLE)
+    start = F.conv(F.hex(F.substring("key", 17, 4)), 16, 10).cast("long")
+    of_text = parts.groupBy(F.substring("key", 1, 16).alias("_text")).agg(F.collect_list(F.struct(start.alias("start"), "runs")).alias("parts"))
+    done = hit.join(of_text, hit["key"] == of_text["_text"], "left").select("key", "data", F.col("runs").alias("stretches"), "parts")
+    digests = materialize(done.mapInArrow(_removed, "_key binary, n_removed long, n_spans long, kept string, n_passages long"), "digests")
+    release(hit, parts)
+    own = texts.select("doc_id", "key", F.octet_length("data").cast("long").alias("n_bytes"), F.sha2("data", 256).alias("sha"))
+    joined = own.join(digests, own["key"] == digests["_key"], "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")]
+    return joined.select("doc_id", "n_bytes", *counts, F.coalesce("kept", "sha").alias("kept_sha256"), F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"))
