@@ -53,10 +53,10 @@ class Scale:
         return self.length - self.kmer + 1
 
 
-WHOLE, PASSAGE = Scale(400, 128, 100), Scale(256, 96, 64)
+WHOLE, PASSAGE = Scale(400, 128, 200), Scale(256, 96, 128)
 #: Words from which a repeated stretch counts as a passage.
 PASSAGE_WORDS = 50
-CROWD, CHUNK, SHARD = 4_000, 1 << 20, 1 << 19
+CROWD, CHUNK, SHARD = 4_000, 1 << 19, 1 << 18
 #: How often contexts of a crowded anchor are dealt anew; what is crowded still is merged as it is.
 LEVELS = 3
 #: Bits of a packed key that hold a place; longer texts are scanned in slices.
