@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..settings import DEFAULTS, Settings
+from . import ranges
 
 
 def line_blocks(documents: DataFrame) -> DataFrame:
@@ -26,19 +27,26 @@ def units(blocks: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
 
 
 def _fold(s: Settings) -> Column:
-    """Batch of each unit of one ordered chapter, as an array parallel to `units` (structs with tokens)."""
-    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(-1).alias("batch"), F.lit(0).alias("wire"), F.lit(0).alias("n"))
+    """Batch of each unit of one ordered chapter, as an array parallel to `units` (structs with tokens).
+
+    The fold keeps the first unit of each batch only, so that its state grows with the batches, not with the units.
+    """
+    start = F.struct(F.array().cast("array<int>").alias("first"), F.lit(0).alias("i"), F.lit(0).alias("wire"), F.lit(0).alias("n"))
 
     def step(a: Column, u: Column) -> Column:
         need = u["tokens"] + s.tag_tokens
         alone = need > s.batch_tokens
-        fresh = (a["n"] == 0) | (a["wire"] + need > s.batch_tokens) | (a["n"] >= s.max_batch_segments)
-        batch = F.when(alone | fresh, a["batch"] + 1).otherwise(a["batch"])
+        fresh = alone | (a["n"] == 0) | (a["wire"] + need > s.batch_tokens) | (a["n"] >= s.max_batch_segments)
         wire = F.when(alone, 0).when(fresh, need).otherwise(a["wire"] + need)
         n = F.when(alone, 0).when(fresh, 1).otherwise(a["n"] + 1)
-        return F.struct(F.concat(a["out"], F.array(batch)).alias("out"), batch.alias("batch"), wire.cast("int").alias("wire"), n.cast("int").alias("n"))
+        first = F.when(fresh, F.concat(a["first"], F.array(a["i"]))).otherwise(a["first"])
+        return F.struct(first.alias("first"), (a["i"] + 1).alias("i"), wire.cast("int").alias("wire"), n.cast("int").alias("n"))
+
+    def spread(a: Column) -> Column:
+        upto = lambda k: F.coalesce(F.get(a["first"], k + 1), a["i"])
+        return F.flatten(F.transform(a["first"], lambda first, k: F.array_repeat(k, upto(k) - first)))
 
-    return F.aggregate("units", start, step, lambda a: a["out"])
+    return F.aggregate("units", start, step, spread)
 
 
 def batches(unit_rows: DataFrame, book: str = "book_id", chapter: str = "doc_id", order: str = "pos", s: Settings = DEFAULTS) -> DataFrame:
@@ -74,10 +82,13 @@ def statistics(per_batch: DataFrame, *by: str) -> DataFrame:
 
 def contexts(placed: DataFrame, book: str = "book_id", chapter: str = "doc_id", order: str = "pos", s: Settings = DEFAULTS) -> DataFrame:
     """For each batch's first unit the texts before it, for its last the text after it; chapters don't matter."""
-    through = Window.partitionBy(book).orderBy(chapter, order)
-    rows = placed.withColumn("previous", F.collect_list("text").over(through.rowsBetween(-s.look_back, -1))).withColumn("next", F.collect_list("text").over(through.rowsBetween(1, s.look_ahead)))
-    pick = lambda f, c: f(F.struct(order, c))[c]
-    return rows.groupBy(book, chapter, "batch").agg(pick(F.min, "previous").alias("previous"), pick(F.max, "next").alias("next"))
+    units_ = ranges.numbered(placed.select(book, chapter, order, "batch", "text"), [book], [chapter, order], "_at")
+    edges = units_.groupBy(book, chapter, "batch").agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+    # The few places around a batch are joined by their numbers, wherever their texts are.
+    around = F.explode(F.concat(F.sequence(F.col("_lo") - s.look_back, F.col("_lo") - 1), F.sequence(F.col("_hi") + 1, F.col("_hi") + s.look_ahead)))
+    met = edges.withColumn("_at", around).join(units_.select(book, "_at", "text"), [book, "_at"], "left")
+    side = lambda here: F.transform(F.sort_array(F.collect_list(F.when(here & F.col("text").isNotNull(), F.struct("_at", "text")))), lambda x: x["text"])
+    return met.groupBy(book, chapter, "batch").agg(side(F.col("_at") < F.col("_lo")).alias("previous"), side(F.col("_at") > F.col("_hi")).alias("next"))
 
 
 def completion_budget(source_tokens: Column, n_units: Column, widened: Column, s: Settings = DEFAULTS) -> Column:
@@ -88,8 +99,8 @@ def completion_budget(source_tokens: Column, n_units: Column, widened: Column, s
 
 def passages(blocks: DataFrame, count: int = 10, s: Settings = DEFAULTS, book: str = "book_id", order: tuple[str, ...] = ("doc_id", "pos")) -> DataFrame:
     """book, passage, text: evenly spaced stretches of blocks over 120 characters, each filled up to the token budget."""
-    w = Window.partitionBy(book).orderBy(*order)
-    long = blocks.where(F.length("text") > 120).withColumn("tokens", tx.n_tokens("text", s)).withColumn("rn", F.row_number().over(w) - 1).withColumn("upto", F.sum("tokens").over(w))
+    long = blocks.where(F.length("text") > 120).withColumn("tokens", tx.n_tokens("text", s))
+    long = ranges.running(long, [book], list(order), rn=(ranges.SUM, F.lit(1).cast("long")), upto=(ranges.SUM, F.col("tokens"))).withColumn("rn", F.col("rn") - 1)
     sizes = long.groupBy(book).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / count)).alias("stride"))
     starts = long.join(sizes, book).where((F.col("rn") % F.col("stride") == 0) & (F.col("rn") < F.col("stride") * count))
     starts = starts.select(F.col(book).alias("_b"), F.col("rn").alias("start"), (F.col("upto") - F.col("tokens")).alias("base"), (F.col("rn") / F.col("stride")).cast("long").alias("passage"))

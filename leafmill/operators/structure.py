@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..settings import DEFAULTS, Settings
+from . import ranges
 
 # Front and back matter by its opening words, tried in this order.
 MATTER = (
@@ -61,15 +64,15 @@ def column_medians(paragraphs: DataFrame) -> DataFrame:
 def heading_levels(headings: DataFrame, book: str = "book_id", order: str = "ordinal") -> DataFrame:
     """level: rank of the size among the book's six largest; none is more than one deeper than the heading before.
 
-    The first is as it is. The running cap makes each book's headings one fold over an ordered array.
+    The first is as it is.
     """
     sizes = headings.select(book, F.round("size", 1).alias("_z")).distinct()
     ranks = sizes.withColumn("_r", F.least(F.row_number().over(Window.partitionBy(book).orderBy(F.desc("_z"))), F.lit(6)))
     ranked = headings.withColumn("_z", F.round("size", 1)).join(ranks, [book, "_z"])
-    rows = F.sort_array(F.collect_list(F.struct(order, "_r")))
-    fold = F.aggregate(rows, F.array().cast("array<int>"), lambda a, r: F.concat(a, F.array(F.when(F.size(a) == 0, r["_r"]).otherwise(F.least(r["_r"], F.element_at(a, -1) + 1)))))
-    found = ranked.groupBy(book).agg(rows.alias("_h"), fold.alias("_l")).select(book, F.explode(F.arrays_zip("_h", "_l")).alias("z"))
-    return found.select(book, F.col(f"z._h.{order}").alias(order), F.col("z._l").alias("level"))
+    placed = ranges.numbered(ranked.select(book, order, "_r"), [book], [order], "_i")
+    # level(i) = min(r(i), level(i - 1) + 1) is the least r(j) + (i - j) of all j up to i.
+    least = ranges.running(placed, [book], [order], _m=(ranges.LEAST, F.col("_r") - F.col("_i")))
+    return least.select(book, order, (F.col("_m") + F.col("_i")).cast("int").alias("level"))
 
 
 def matter(paragraphs: DataFrame, first_chapter: int | Column = 0, book: str = "book_id", order: str = "ordinal") -> DataFrame:
@@ -90,9 +93,9 @@ def matter(paragraphs: DataFrame, first_chapter: int | Column = 0, book: str = "
     return out.withColumn("matter", kind).drop("_tag", "_at")
 
 
-def chapters_of(paragraphs: DataFrame, is_start: Column, book: str = "book_id", order: str = "ordinal") -> DataFrame:
+def chapters_of(paragraphs: DataFrame, is_start: Column, book: str = "book_id", order: tuple[str, ...] = ("ordinal",)) -> DataFrame:
     """chapter: how many starts there are up to each paragraph (0: front matter)."""
-    return paragraphs.withColumn("chapter", F.sum(is_start.cast("int")).over(Window.partitionBy(book).orderBy(order)).cast("int"))
+    return ranges.running(paragraphs, [book], list(order), _chapter=(ranges.SUM, is_start.cast("int"))).withColumn("chapter", F.col("_chapter").cast("int")).drop("_chapter")
 
 
 def chapters_from_headings(paragraphs: DataFrame, book: str = "book_id", order: str = "ordinal") -> DataFrame:
@@ -108,27 +111,41 @@ def chapters_from_headings(paragraphs: DataFrame, book: str = "book_id", order:
     return both.withColumn("chapter", F.row_number().over(Window.partitionBy(book).orderBy("start")))
 
 
+#: Paragraphs from an entry's page on among which its title is looked for.
+NEAR = 20
+_SIGNS = re.compile(r"\W+")
+
+
+def _plain(text: object) -> str:
+    """Lower case with every run of other signs than letters, digits and _ made one space."""
+    return _SIGNS.sub(" ", str(text).lower()).strip()
+
+
 def _match_outline(entries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-    """For each entry in order: the first unused paragraph on its page or later, a text match of the next 20 first."""
-    candidates = candidates.sort_values("ordinal")
-    used: set[int] = set()
+    """For each entry in order: of the unused paragraphs on its page or later, a title match among NEAR, else the first.
+
+    Two texts match if one begins the other.
+    """
+    free = {c.ordinal: (c.page, _plain(c.text)) for c in candidates.sort_values("ordinal").itertuples()}
     out = []
     for e in entries.sort_values("entry").itertuples():
-        near = [c for c in candidates.itertuples() if c.page >= e.page and c.ordinal not in used]
-        title = " ".join(str(e.title).lower().split())
-        same = [c for c in near[:20] if " ".join(str(c.text).lower().split()).startswith(title[:40])]
-        pick = (same or near or [None])[0]
+        title = _plain(e.title)
+        near = [(k, text) for k, (page, text) in free.items() if page >= e.page][:NEAR]
+        same = (k for k, text in near if text and title and (text.startswith(title) or title.startswith(text)))
+        pick = next(same, near[0][0] if near else None)
         if pick is not None:
-            used.add(pick.ordinal)
-            out.append((e.book_id, e.entry, pick.ordinal))
+            del free[pick]
+            out.append((e.book_id, e.entry, pick))
     return pd.DataFrame(out, columns=["book_id", "entry", "ordinal"])
 
 
 def match_outline(entries: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """book_id, entry, ordinal: outline entries (book_id, entry, title, page) placed on paragraphs of their book.
 
-    The used set makes it sequential within a book, so books are groups; only candidates reach Python.
+    Entries of a level below the second are left out. What is used makes it sequential within a book, so books are
+    groups; only candidates reach Python.
     """
+    entries = entries.where("level <= 2") if "level" in entries.columns else entries
     short = paragraphs.where(F.length("text") <= 200).select("book_id", "ordinal", F.col("pages")[0].alias("page"), "text")
     return entries.groupBy("book_id").cogroup(short.groupBy("book_id")).applyInPandas(_match_outline, "book_id string, entry int, ordinal int")
 
@@ -138,19 +155,20 @@ def chapter_asof(notes: DataFrame, chapters: DataFrame, book: str = "book_id") -
 
     Both sides are unioned and sorted once; a running last value does the join, whatever their sizes.
     """
-    c = chapters.select(book, F.col("start_page").alias("page"), F.lit(0).alias("_side"), F.struct("start_page", "chapter_id").alias("_c"))
+    c = chapters.select(book, F.col("start_page").alias("page"), F.lit(0).alias("_side"), F.col("chapter_id").alias("_c"))
     n = notes.withColumn("_side", F.lit(1)).withColumn("_c", F.lit(None).cast(c.schema["_c"].dataType))
-    w = Window.partitionBy(book).orderBy("page", "_side", F.col("_c.chapter_id"))
-    both = n.unionByName(c, allowMissingColumns=True)
-    before = F.last("_c", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.min("_c").over(Window.partitionBy(book))
-    return both.withColumn("chapter_id", F.coalesce(before["chapter_id"], first["chapter_id"])).where("_side = 1").drop("_side", "_c")
+    both = n.withColumn("_n", F.monotonically_increasing_id()).unionByName(c.withColumn("_n", F.lit(0).cast("long")), allowMissingColumns=True)
+    placed = ranges.running(both, [book], ["page", "_side", "_c", "_n"], _before=(ranges.LAST, F.col("_c"))).where("_side = 1")
+    first = chapters.groupBy(F.col(book).alias("_b")).agg(F.min(F.struct("start_page", "chapter_id")).alias("_first"))
+    found = placed.join(first, F.col(book).eqNullSafe(F.col("_b")), "left")
+    return found.withColumn("chapter_id", F.coalesce("_before", F.col("_first.chapter_id"))).drop("_side", "_c", "_n", "_before", "_b", "_first")
 
 
 def anomalies(chapters: DataFrame, book: str = "book_id") -> DataFrame:
     """anomaly of chapters (words): empty, short below 200, long above three times the book's median; null else."""
-    median = F.expr(f"percentile(words, 0.5) over (partition by {book})")
-    return chapters.withColumn("median_words", median).withColumn("anomaly", F.when(F.col("words") == 0, "empty").when(F.col("words") < 200, "short").when(F.col("words") > 3 * F.col("median_words"), "long"))
+    median = chapters.groupBy(F.col(book).alias("_b")).agg(F.percentile("words", F.lit(0.5)).alias("median_words"))
+    out = chapters.join(median, F.col(book).eqNullSafe(F.col("_b")), "left").drop("_b")
+    return out.withColumn("anomaly", F.when(F.col("words") == 0, "empty").when(F.col("words") < 200, "short").when(F.col("words") > 3 * F.col("median_words"), "long"))
 
 
 def select_chapters(blocks: DataFrame, wanted: DataFrame) -> DataFrame:

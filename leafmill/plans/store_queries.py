@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 
 from ..functions import text as tx
-from ..operators import exporting, judging, ladder, reporting, segmenting, storing, structure
+from ..operators import exporting, judging, ladder, ranges, reporting, segmenting, storing, structure
 from ..settings import BUCKETS
 from .registry import LINES, UNITS, lines, query, table
 from .text_queries import KIND
@@ -289,9 +289,9 @@ def inline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(exporting.runs(text)).alias("k", "r")).select("doc_id", "r.text", "r.style", F.col("k").cast("long").alias("k"))
 
 
-@query("select event_id, least(pow(2.0::double, event_id % 9), 60.0::double) as seconds, case when value < 0.01 then printf('$%.4f', value) when value < 1 then printf('$%.3f', value) else printf('$%.2f', value) end as usd from events where event_id % 3 = 0")
+@query("select event_id, least(pow(2.0::double, event_id % 9), 60.0::double) as seconds, case when value < 0.01 then printf('$%.4f', value) when value < 1 then printf('$%.3f', value) else printf('$%.2f', value) end as usd from events")
 def backoff_and_money(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_id % 3 = 0").select("event_id", tx.backoff(F.col("event_id") % 9).alias("seconds"), tx.usd("value").alias("usd"))
+    return table(spark, sf_dir, "events").select("event_id", tx.backoff(F.col("event_id") % 9).alias("seconds"), tx.usd("value").alias("usd"))
 
 
 @query("select distinct event_type as model from events where event_type is not null and event_type <> 'human'")
@@ -302,8 +302,8 @@ def distinct_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {LINES}, {UNITS}, s as (select book_id, doc_id, pos, (row_number() over (partition by book_id order by doc_id, pos))::int as ordinal from (select book_id, doc_id, pos, {KIND} as kind from units) where kind not in ('scene_break', 'page_break')) select * from s")
 def seeded_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segmenting.units(lines(spark, sf_dir).withColumn("kind", structure.kind_by_text("text")))
-    w = Window.partitionBy("book_id").orderBy("doc_id", "pos")
-    return rows.withColumn("ordinal", F.row_number().over(w).cast("int")).select("book_id", "doc_id", "pos", "ordinal")
+    placed = ranges.numbered(rows.select("book_id", "doc_id", "pos"), ["book_id"], ["doc_id", "pos"], "at")
+    return placed.select("book_id", "doc_id", "pos", F.col("at").cast("int").alias("ordinal"))
 
 
 def retry_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:

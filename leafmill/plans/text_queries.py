@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
-from ..operators import cleaning, segmenting, structure
+from ..operators import cleaning, ranges, segmenting, structure
 from ..sources import readers
 from .registry import LINES, STRIPPED, TOKENS, lines, query, table
 
@@ -133,8 +133,8 @@ def block_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {LINES} select doc_id, pos, printf('b%04d', row_number() over (partition by book_id order by doc_id, pos) - 1) as id from lines")
 def block_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("book_id").orderBy("doc_id", "pos")
-    return lines(spark, sf_dir).select("doc_id", "pos", tx.block_id(F.row_number().over(w) - 1).alias("id"))
+    placed = ranges.numbered(lines(spark, sf_dir).select("book_id", "doc_id", "pos"), ["book_id"], ["doc_id", "pos"], "at")
+    return placed.select("doc_id", "pos", tx.block_id(F.col("at") - 1).alias("id"))
 
 
 #: One line a document of a kind that the driver's texts lack.
@@ -170,10 +170,10 @@ def markdown_lines_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.markdown_lines(books).select("book_id", "page", "line_ord", "text", "size", "x0")
 
 
-#: Words of eight letters or more, broken after four with a line end, in every tenth document.
+#: Words of eight letters or more, broken after four with a line end.
 _BROKEN = "regexp_replace(text, '([\\p{L}]{4})([\\p{L}]{4,})', '\\1-' || chr(1) || '\\2', 'g')"
 _FORMS = "regexp_extract_all(lower({0}), '[\\p{{L}}]+(?:-[\\p{{L}}]+)*')"
-HYPHENS = f"""w as (select source as book_id, doc_id, {_BROKEN} as text from documents where doc_id % 10 = 0),
+HYPHENS = f"""w as (select source as book_id, doc_id, {_BROKEN} as text from documents),
 forms as (select book_id, word, count(*) as n from (select book_id, unnest(list_concat({_FORMS.format("replace(replace(text, '-' || chr(1), ''), chr(1), '')")}, {_FORMS.format("replace(text, chr(1), '')")})) as word from w) group by 1, 2),
 parts as (select book_id, doc_id, string_split(text, chr(1)) as p from w),
 c as (select book_id, doc_id, k, lower(regexp_extract(p[k], '([\\p{{L}}]+)-$', 1)) as l, lower(regexp_extract(p[k + 1], '^([\\p{{L}}]+)', 1)) as r from (select *, unnest(range(1, len(p))) as k from parts)),
@@ -181,7 +181,7 @@ decided as (select c.book_id, c.doc_id, c.k, l || r as joined, coalesce(a.n, 0)
 
 
 def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 10 = 0")
+    docs = table(spark, sf_dir, "documents")
     return docs.select(F.col("source").alias("book_id"), "doc_id", F.regexp_replace("text", "([\\p{L}]{4})([\\p{L}]{4,})", "$1-" + cleaning.BREAK + "$2").alias("text"))
 
 
@@ -243,9 +243,7 @@ def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {LINES} select doc_id, pos, sum(case when length(text) <= 20 then 1 else 0 end) over (partition by book_id order by doc_id, pos)::int as chapter from lines")
 def chapter_of_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("book_id").orderBy("doc_id", "pos")
-    rows = lines(spark, sf_dir).withColumn("ordinal", F.row_number().over(w))
-    return structure.chapters_of(rows, F.length("text") <= 20).select("doc_id", "pos", "chapter")
+    return structure.chapters_of(lines(spark, sf_dir), F.length("text") <= 20, order=("doc_id", "pos")).select("doc_id", "pos", "chapter")
 
 
 @query("""with c as (select source as book_id, doc_id as start_page, 'ch' || doc_id as chapter_id from documents where doc_id % 3 = 1), n as (select source as book_id, doc_id as page from documents where doc_id % 3 <> 1)
@@ -294,9 +292,9 @@ def pages_to_reread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.pages_to_reread(pages, 5)
 
 
-@query("""with l as (select source as book_id, doc_id, regexp_replace(text, '(.{1,60})( |$)', '\\1' || chr(10), 'g') as text from documents where doc_id % 5 = 0),
+@query("""with l as (select source as book_id, doc_id, regexp_replace(text, '(.{1,60})( |$)', '\\1' || chr(10), 'g') as text from documents),
 r as (select doc_id as book_id, (generate_subscripts(ls, 1) - 1)::int as line_ord, unnest(ls) as raw from (select doc_id, string_split(text, chr(10)) as ls from l))
 select book_id, 1 as page, line_ord, trim(raw, ' ') as text, ((length(raw) - length(ltrim(raw, ' '))) * 5)::double as x0, (line_ord * 12)::double as top from r where trim(raw, ' ') <> ''""")
 def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books = table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("book_id"), F.regexp_replace("text", "(.{1,60})( |$)", "$1\n").alias("text"))
+    books = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.regexp_replace("text", "(.{1,60})( |$)", "$1\n").alias("text"))
     return readers.layout_lines(books).select("book_id", "page", "line_ord", "text", "x0", "top")

@@ -135,10 +135,12 @@ def pages_to_reread(pages: DataFrame, most: int, s: Settings = DEFAULTS) -> Data
 
     The median length is the upper one. Ties go to the earlier page.
     """
-    n = F.length("text")
+    # The median comes from how many pages there are of each length, the ranking below from each task's worst pages.
     every = Window.partitionBy("book_id")
-    sized = pages.withColumn("n", n).withColumn("_r", F.row_number().over(every.orderBy("n", "page"))).withColumn("_all", F.count(F.lit(1)).over(every))
-    sized = sized.withColumn("median", F.max(F.when(F.col("_r") == F.floor(F.col("_all") / 2) + 1, F.col("n"))).over(every))
+    sizes = pages.groupBy("book_id", F.length("text").alias("n")).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = sizes.withColumn("_upto", F.sum("_c").over(every.orderBy("n"))).withColumn("_all", F.sum("_c").over(every))
+    middle = sizes.where("_upto > floor(_all / 2)").groupBy(F.col("book_id").alias("_b")).agg(F.min("n").alias("median"))
+    sized = pages.withColumn("n", F.length("text")).join(middle, F.col("book_id").eqNullSafe(F.col("_b")))
     ratio = F.regexp_count("text", F.lit("\\x{FFFD}")) / F.greatest(F.col("n"), F.lit(1))
     short = F.col("n") < F.greatest(F.lit(0.15) * F.col("median"), F.lit(40.0))
     score = F.when(ratio > s.replacement_ratio, 1 + ratio).when(short & (F.col("median") > 0), 1 - F.col("n") / F.col("median"))

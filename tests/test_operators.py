@@ -346,3 +346,32 @@ def test_batching_cost_is_linear(spark):
     seconds(200)
     small = seconds(200)
     assert seconds(2000) < max(40 * small, 5)
+    assert seconds(200_000) < max(400 * small, 40)
+
+
+def test_running_values_by_hand(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from leafmill.operators import ranges
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), k, rng.choice([None, 1, 5, -2]), rng.choice([None, "x", "y"])) for k in range(400)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "g string, k int, n int, s string").repartition(5)
+    got = ranges.running(frame, ["g"], ["k"], total=(ranges.SUM, F.col("n")), least=(ranges.LEAST, F.col("n")), last=(ranges.LAST, F.col("s")), at=(ranges.SUM, F.lit(1)))
+    want, state = [], {}
+    for g, k, n, s in sorted(rows, key=lambda r: r[1]):
+        total, least, last, at = state.get(g, (0, None, None, 0))
+        least = least if n is None else n if least is None else min(least, n)
+        state[g] = (total + (n or 0), least, s if s is not None else last, at + 1)
+        want.append((g, k, n, s, *state[g]))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
+    assert ranges.numbered(frame.limit(0), ["g"], ["k"], "at").count() == 0
+
+
+def test_outline_matches_either_way(spark):
+    entries = spark.createDataFrame([("b", 0, 1, "The  Long, Winter!", 1), ("b", 1, 2, "Two", 2), ("b", 2, 3, "Deep", 2), ("b", 3, 1, "Lost", 9)], "book_id string, entry int, level int, title string, page int")
+    paragraphs = spark.createDataFrame([("b", 0, [1], "noise"), ("b", 1, [1], "the long winter of 1709"), ("b", 2, [2], "Deep"), ("b", 3, [3], "tw"), ("b", 4, [3], "Tw o")], "book_id string, ordinal int, pages array<int>, text string")
+    assert sorted((r.entry, r.ordinal) for r in structure.match_outline(entries, paragraphs).collect()) == [(0, 1), (1, 3)]
