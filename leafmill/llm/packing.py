@@ -2,18 +2,19 @@
 
 Tokenised documents are cut into pieces of up to CAPACITY. Pieces are range-sorted by length and numbered within it,
 without any single-task sort. As lengths are whole numbers up to CAPACITY, sorted pieces and sorted gaps are tables of
-runs: (length, first rank, number) and (gap, first sequence, number). A round is one query over these tables:
+runs: (length, first rank, number) and (gap, first sequence, number). A round goes over these tables:
 
 1. Every length finds its successor, the smallest gap that holds it, and bundles as many pieces as that gap holds.
-2. A sweep in falling order of size, gaps before bundles, counts gaps up and bundles down. A bundle that takes the
-   count down to a level is matched with the last gap that took it up to there: of the gaps that are left, the smallest
-   that holds it. Who comes first among equals follows from the ranks, so no two ever get one gap.
+2. A sweep in falling order of size, gaps before bundles, matches a bundle with the last gap that is still open: of the
+   gaps that are left, the smallest that holds it. Longer bundles come first and ranks decide among equals, so no two
+   get one gap, and what finds none waits.
 3. Matched gaps shrink by their bundle, and the round is repeated. Where nothing is matched any more, sequences are
    opened for what no gap holds. Lengths take part from the longest on, one halving after the other.
 
-The tables have a few rows for each possible length, whatever the number of pieces, so a round costs the same for any
-input, and its result (some thousand rows at most) comes back to the driver as the next round's tables; pieces
-themselves move once to be sorted, and find their run by length and rank in the end.
+The tables have a few rows for each possible length, whatever the number of pieces, so the rounds are run on the
+driver over collected counts (one query of Spark a round gave the same runs at a second or more for each of some fifty
+rounds). Pieces themselves never come to it: Spark cuts, sorts, ranks and counts them, and they find their run by
+length and rank in the end.
 
 Null and empty texts are one piece, the closing id alone; empty tables give no pieces. Repeated rows are packed once
 each; ties of length go by doc_id, piece and crc32. A document's pieces never share anything but the sequence they may
@@ -27,13 +28,13 @@ import math
 import os
 import re
 import zlib
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordscan as ws
@@ -240,93 +241,71 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-#: One round over pieces (length, first, number) and gaps (gap, sequence, number); see the module's text.
-ROUND = """
-with sized as (
-  select gap as size, 1 as is_gap, sum(number) as n, 0L as first from (select /*+ coalesce(1) */ * from {gaps}) group by gap
-  union all select /*+ coalesce(1) */ length, 0, number, first from {pieces}
-), fitting as (
-  select /*+ coalesce(1) */ *, last_value(if(is_gap = 1, size, null)) ignore nulls over (order by size desc, is_gap desc) as successor from sized
-), events as (
-  select is_gap, first, successor div size as per, inline(if(is_gap = 1,
-    array(named_struct('size', size, 'length', 0L, 'each', 0L, 'n', n, 'is_rest', 0)),
-    array(named_struct('size', successor div size * size, 'length', size, 'each', successor div size, 'n', n div (successor div size), 'is_rest', 0),
-          named_struct('size', n % (successor div size) * size, 'length', size, 'each', n % (successor div size), 'n', if(n % (successor div size) > 0, 1L, 0L), 'is_rest', 1))))
-  from fitting where successor is not null
-), counted as (
-  select *, sum(if(is_gap = 1, n, -n)) over (order by size desc, is_gap desc, length desc, is_rest) - if(is_gap = 1, n, 0) as low from events where n > 0
-), cut as (
-  select *, array_sort(array_union(collect_list(low) over (), collect_list(low + n) over ())) as cuts from counted
-), levels as (
-  select is_gap, first, size, length, each, n, is_rest, low, inline(arrays_zip(slice(cuts, at, upto - at), slice(cuts, at + 1, upto - at))) as (level, next)
-  from (select *, cast(array_position(cuts, low) as int) as at, cast(array_position(cuts, low + n) as int) as upto from cut)
-), met as (
-  select *, lag(struct(is_gap, size, low)) over (partition by level order by size desc, is_gap desc, length desc, is_rest) as above from levels
-), matched as (
-  select above.size as gap, level - above.low as place, next - level as n, size, length, each, is_rest, low + n - next as bundle, first
-  from met where is_gap = 0 and above.is_gap = 1
-), runs as (
-  select *, sum(number) over (partition by gap order by sequence) - number as begin from (select /*+ coalesce(1) */ * from {gaps})
-), filled as (
-  select m.gap, size, length, each, is_rest, first, greatest(place, begin) as at, sequence - begin as lead, bundle - place as shift,
-         least(place + n, begin + number) - greatest(place, begin) as n
-  from matched m join runs r on m.gap = r.gap and begin < place + n and place < begin + number
-)
-select length, each, at + lead as sequence, n as number, gap, gap - size as left,
-       first + if(is_rest = 1, sum(if(is_rest = 1, 0, n * each)) over (partition by length), (at + shift) * each) as rank
-from filled
-"""
-
-
-def _table(spark: SparkSession, names: tuple[str, ...], rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(pa.table({name: pa.array([r[k] for r in rows], pa.int64()) for k, name in enumerate(names)}))
-
-
-def matched(spark: SparkSession, pieces: list[tuple], gaps: list[tuple]) -> list[Row]:
-    """One round: the bundles of pieces and the gaps that take them."""
-    return spark.sql(ROUND, pieces=_table(spark, ("length", "first", "number"), pieces), gaps=_table(spark, ("gap", "sequence", "number"), gaps)).collect()
-
+def sweep(pieces: dict[int, tuple[int, int]], gaps: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, int, int]], list[tuple[int, int, int]]]:
+    """One round: what is placed (length, first rank, bundles, each, first sequence, gap), and the gaps after it.
 
-def kept(gaps: list[tuple[int, int, int]], placed: list[Row]) -> list[tuple[int, int, int]]:
-    """The runs of gaps after a round. Of equal gaps those with the highest sequence numbers are matched first."""
-    used: Counter[int] = Counter()
-    for r in placed:
-        used[r["gap"]] += r["number"]
-    out = [(r["left"], r["sequence"], r["number"]) for r in placed if r["left"] > 0]
-    for gap, sequence, number in sorted(gaps, reverse=True):
-        gone = min(used[gap], number)
-        used[gap] -= gone
-        if number > gone:
-            out.append((gap, sequence, number - gone))
-    return out
-
-
-def rounds(spark: SparkSession, counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
+    pieces: first rank and number by length; gaps: runs (gap, first sequence, number).
+    """
+    sizes = sorted({gap for gap, _, _ in gaps})
+    events = [(gap, 1, sequence, number, 0) for gap, sequence, number in gaps]
+    for length, (_, number) in pieces.items():
+        at = bisect_left(sizes, length)
+        if at < len(sizes):
+            each = sizes[at] // length
+            whole, rest = divmod(number, each)
+            events += [(n * length, 0, length, times, n) for n, times in ((each, whole), (rest, 1)) if n and times]
+    # Falling by size, gaps before bundles: the last gap still open is the smallest that holds the bundle.
+    open_gaps: list[tuple[int, int, int]] = []
+    placed, after = [], []
+    rank = {length: first for length, (first, _) in pieces.items()}
+    for size, is_gap, name, number, each in sorted(events, reverse=True):
+        if is_gap:
+            open_gaps.append((size, name, number))
+            continue
+        while number and open_gaps:
+            gap, sequence, there = open_gaps.pop()
+            n = min(number, there)
+            if there > n:
+                open_gaps.append((gap, sequence, there - n))
+            first = sequence + there - n
+            placed.append((name, rank[name], n, each, first, gap))
+            if gap > size:
+                after.append((gap - size, first, n))
+            rank[name] += n * each
+            number -= n
+    return placed, after + open_gaps
+
+
+def rounds(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
     """Runs (length, first rank, number, per sequence, first sequence, offset) that place `counts` pieces by length."""
     left = {length: (0, n) for length, n in counts.items() if n}
     gaps: list[tuple[int, int, int]] = []
     runs, opened, least = [], 0, capacity
     while left:
-        some = [(length, *of) for length, of in left.items() if length >= least]
+        some = {length: of for length, of in left.items() if length >= least}
         if not some:
             least = max(1, least // 2)
             continue
-        placed = matched(spark, some, [g for g in gaps if g[0] >= least]) if max(gaps, default=(0,))[0] >= min(some)[0] else []
+        placed, after = sweep(some, [g for g in gaps if g[0] >= least])
         if not placed:
-            more = math.ceil(sum(Fraction(n, capacity // length) for length, _, n in some))
+            more = math.ceil(sum(Fraction(n, capacity // length) for length, (_, n) in some.items()))
             gaps.append((capacity, opened, more))
             opened += more
             continue
-        gaps = kept(gaps, placed)
-        for r in placed:
-            n = r["number"] * r["each"]
-            runs.append((r["length"], r["rank"], n, r["each"], r["sequence"], capacity - r["gap"]))
-            first, number = left[r["length"]]
-            left[r["length"]] = (first + n, number - n)
+        gaps = [g for g in gaps if g[0] < least] + after
+        for length, rank, bundles, each, sequence, gap in placed:
+            n = bundles * each
+            runs.append((length, rank, n, each, sequence, capacity - gap))
+            first, number = left[length]
+            left[length] = (first + n, number - n)
         left = {length: of for length, of in left.items() if of[1]}
     return runs
 
 
+def _table(spark: SparkSession, names: tuple[str, ...], rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(pa.table({name: pa.array([r[k] for r in rows], pa.int64()) for k, name in enumerate(names)}))
+
+
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of docs."""
     spark = docs.sparkSession
@@ -334,7 +313,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     names = ("_length", "_rank", "_number", "_each", "_first", "_offset")
     # A few runs for each possible length: bounded by the capacity, so that they can be sent to every task.
-    runs = F.broadcast(_table(spark, names, rounds(spark, counts, capacity)))
+    runs = F.broadcast(_table(spark, names, rounds(counts, capacity)))
     here = F.col("rank") - F.col("_rank")
     found = pieces.join(runs, (F.col("length") == F.col("_length")) & (here >= 0) & (here < F.col("_number")))
     sequence = (F.col("_first") + F.floor(here / F.col("_each"))).cast("long")

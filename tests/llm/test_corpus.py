@@ -312,12 +312,12 @@ def one_by_one(counts, capacity):
     return len(free)
 
 
-def test_rounds_against_one_by_one(spark):
-    for seed, capacity, n in ((0, 10, 300), (1, 50, 200), (2, 2048, 120), (3, 2048, 1), (4, 2048, 0), (5, 64, 400)):
+def test_rounds_against_one_by_one():
+    for seed, capacity, n in [(0, 10, 300), (1, 50, 200), (2, 2048, 120), (3, 2048, 1), (4, 2048, 0), *((k, 64 << k % 6, 37 * k) for k in range(5, 60))]:
         rng = random.Random(seed)
         counts = collections.Counter(rng.randint(1, capacity) for _ in range(n))
         ranks, places = collections.defaultdict(list), collections.defaultdict(list)
-        for length, rank, number, each, first, offset in packing.rounds(spark, dict(counts), capacity):
+        for length, rank, number, each, first, offset in packing.rounds(dict(counts), capacity):
             for k in range(number):
                 ranks[length].append(rank + k)
                 places[first + k // each].append((offset + k % each * length, length))
@@ -328,12 +328,10 @@ def test_rounds_against_one_by_one(spark):
         assert len(places) <= 1.03 * one_by_one(counts, capacity) + 1
 
 
-def test_rounds_resolve_conflicts(spark):
-    # Both lengths want the gaps of 7: the longer pieces get them, the rest go to the gap of 9 or wait.
-    placed = packing.matched(spark, [(7, 0, 2), (6, 0, 3)], [(7, 10, 2), (9, 20, 1)])
-    assert sorted((r["length"], r["rank"], r["sequence"], r["number"]) for r in placed) == [(6, 0, 20, 1), (7, 0, 10, 2)]
-    left = packing.kept([(7, 10, 2), (9, 20, 1)], placed)
-    assert left == [(3, 20, 1)]
+def test_rounds_resolve_conflicts():
+    # Both lengths want the gaps of 7: the longer pieces get them, of the rest one goes to the gap of 9, two wait.
+    placed, after = packing.sweep({7: (0, 2), 6: (0, 3)}, [(7, 10, 2), (9, 20, 1)])
+    assert sorted(placed) == [(6, 0, 1, 1, 20, 9), (7, 0, 2, 1, 10, 7)] and after == [(3, 20, 1)]
 
 
 def test_long_texts_in_windows(spark, monkeypatch):
