@@ -252,6 +252,41 @@ def test_stage_links_edited_copies(spark, docs, rows):
     assert got == collections.Counter((r[0], c) for r, c in zip(rows, want, strict=True))
 
 
+def one_edited_group():
+    """Copies of one text, edited so that many pairs lie on either side of the similarity, with lasting sub-families."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    families = [list(base) for _ in range(8)]
+    for f, w in enumerate(families):
+        for k in rng.sample(range(150), 2 + f // 2):
+            w[k] = f"f{f}"
+    texts = []
+    for _ in range(240):
+        w = list(rng.choice(families))
+        for k in rng.sample(range(len(w)), rng.randint(0, 4)):
+            w[k] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(w[rng.randint(0, 6) : 150 - rng.randint(0, 6)]))
+    return list(enumerate(texts))
+
+
+def test_links_of_one_edited_group(spark, monkeypatch):
+    sizes, write = collections.defaultdict(list), minhash.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    copies = one_edited_group()
+    want, links = classes_by_hand(copies)
+    assert 1 < len(set(want)) < 200
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(copies, "doc_id long, text string")).collect()}
+    assert got == dict(zip(range(len(copies)), want, strict=True))
+    # First stars, hubs, and what lies outside a hub's component all had work.
+    assert sizes["near"][0] and sizes["near"][1] and sizes["pairs"][0]
+
+
 def test_stage_links_nothing(nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
