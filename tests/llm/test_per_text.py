@@ -91,6 +91,26 @@ def test_rule_verdicts_by_hand(docs, labels, rows):
         assert r.kept == (not r.base_failed and r.anomaly < forest.cut)
 
 
+def test_forest_of_all_labelled_rows(spark):
+    rng = random.Random(23)
+    prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(rng.randint(15, 40)))
+    ids = [r[0] for r in spark.range(3400).selectExpr("id", "xxhash64(id) as h").orderBy("h", "id").collect()]
+    # Rows beyond the first 3,000 in hash order are labelled bad, and only they are shouted.
+    texts = [(i, prose() if k < 3000 else prose().upper(), int(k < 3000)) for k, i in enumerate(ids)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, quality int")
+    forest = rules.fit(frame.select("doc_id", "text"), frame.select("doc_id", "quality"))
+    counts, x = rules.statistics(*ws.buffers(pa.array([t[1] for t in texts])))
+    passed, good = ~rules.base_failed(counts), np.array([t[2] == 1 for t in texts])
+    first, bad = x[passed & good], x[passed & ~good]
+    want = rules.grow(first[::2])
+    assert forest.feature.tolist() == want.feature.tolist() and forest.split.tolist() == want.split.tolist()
+    known = np.concatenate([first[1::2], bad])
+    assert forest.cut == rules.calibrate(want, known, np.arange(len(known)) < len(first) // 2).cut != rules.DEFAULT_CUT
+    assert (forest.score(bad) >= forest.cut).all()
+    alone = rules.fit(frame.select("doc_id", "text"), frame.select("doc_id", "quality").limit(0))
+    assert alone.split.tolist() == rules.grow(x[passed]).split.tolist() and alone.cut == rules.DEFAULT_CUT
+
+
 def test_lines_that_collide_modulo_powers_of_two():
     a, b = "a", "b"
     for _ in range(11):
