@@ -68,12 +68,23 @@ def copies(scheduled: DataFrame) -> DataFrame:
     return out.withColumn("position", position(F.col("pass") * F.col("source_size") + F.col("before"), F.col("target"), F.col("tilt")))
 
 
+def in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows range-sorted by the order, nulls last: partitions follow one another."""
+    keys = [F.col(c).asc_nulls_last() for c in order]
+    return rows.repartitionByRange(*keys[:2]).sortWithinPartitions(*keys)
+
+
 def mix_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, position (of the first copy; null if none) for every row of docs."""
-    sized = only(docs, "doc_id", "source", "text").select("doc_id", "source", n_words().alias("size"))
-    done = schedule(sized)
-    first = F.when(F.col("taken") > 0, position(F.col("before"), F.col("target"), F.col("tilt")))
-    return done.select("doc_id", "size", "source_size", "target", "taken", first.alias("position"))
+    """doc_id, size, source_size, target, taken, position for every row of docs, in training order.
+
+    What is taken of a row is counted over the copies that the mix makes of it, and position is that of the first one;
+    rows that are never taken have 0 and null, and stand last.
+    """
+    done = schedule(only(docs, "doc_id", "source", "text").select("doc_id", "source", n_words().alias("size"), F.monotonically_increasing_id().alias("row")))
+    made = copies(done).groupBy("row").agg(F.sum("words").alias("taken"), F.min("position").alias("position"))
+    out = done.drop("taken").join(made, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    digest = materialize(out.select("doc_id", "size", "source_size", "target", "taken", "position", "row"), "digest")
+    return in_order(digest, "position", "row").drop("row")
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
@@ -91,5 +102,4 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     out = out.withColumn("text", F.when(is_cut, short).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(is_cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    ordered = out.repartitionByRange(F.col(place), F.col(row)).sortWithinPartitions(place, row, turn)
-    return ordered.select(*columns(docs))
+    return in_order(out, place, row, turn).select(*columns(docs))

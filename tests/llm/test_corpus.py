@@ -456,6 +456,23 @@ def test_mixing(docs, rows):
         assert abs(taken[s] - want[s]) <= 1
 
 
+def test_digest_is_in_training_order(spark, docs, rows):
+    for frame in (docs, docs.repartition(5)):
+        out = mixing.mix_digest(frame)
+        places = [r.position for r in out.collect()]
+        taken = [p for p in places if p is not None]
+        assert taken == sorted(taken) and len(set(taken)) > 50 and set(places[len(taken) :]) == {None} and len(places) == len(rows)
+    # What the digest says is what the copies of each row come to, and where the first of them stands.
+    frame = spark.createDataFrame([(i, f"s{i % 3}", " w" * (1 + i % 50 * (i % 3 == 0))) for i in range(600)], "doc_id long, source string, text string")
+    words, first = collections.Counter(), {}
+    for r in mixing.copies(mixing.schedule(frame.select("doc_id", "source", mixing.n_words().alias("size")))).collect():
+        words[r.doc_id] += r.words
+        first[r.doc_id] = min(first.get(r.doc_id, 1), r.position)
+    got = mixing.mix_digest(frame).collect()
+    assert max(r.taken / r.size for r in got) > 1
+    assert {r.doc_id: (r.taken, r.position) for r in got} == {i: (words[i], first.get(i)) for i in range(600)}
+
+
 def test_targets_cap(spark):
     for sizes in ({"a": 1000, "b": 10, "c": 10, None: 5}, {"a": 0, "b": 0}, {"z": 7}, {chr(97 + i): (i * 37) % 50 for i in range(9)}):
         frame = spark.createDataFrame(list(sizes.items()), "source string, size long")
