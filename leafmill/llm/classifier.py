@@ -193,8 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Net:
     """Fit on SAMPLE labelled rows outside fold 0."""
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").where(fold() != 0)
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = only(docs, "doc_id", "text").join(marked, "doc_id").select("doc_id", text_or_empty().alias("text"), "quality")
-    rows = bounded_sample(known, "doc_id", "text", SAMPLE, SAMPLE_BYTES)
+    texts = only(docs, "doc_id", "text").select("doc_id", text_or_empty().alias("text"))
+    rows = bounded_sample(texts, "doc_id", "text", SAMPLE, SAMPLE_BYTES, marked)
     return train([r["text"].encode() for r in rows], np.array([r["quality"] for r in rows]))
 
 

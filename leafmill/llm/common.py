@@ -94,13 +94,17 @@ def ranked(df: DataFrame, group: list[str], order: list[str], *, size: str | Non
     return out.drop("_part", "_p", "_n0", "_s0", *[f"_g_{c}" for c in group])
 
 
-def bounded_sample(rows: DataFrame, key: str, value: str, most: int, most_bytes: int) -> list[Row]:
+def bounded_sample(rows: DataFrame, key: str, value: str, most: int, most_bytes: int, marks: DataFrame | None = None) -> list[Row]:
     """Rows (key, value, ...) of up to `most` keys, first in hash order, one row a key; null keys are left out.
 
     Keys are taken in that order as long as their values have most_bytes in all; one that would go beyond is passed
-    over. Sizes are collected first (`most` rows), then the values of the keys taken.
+    over. Sizes are collected first (`most` rows), then the values of the keys taken. With marks (key, ..., one row a
+    key) only their keys are taken, with their columns; values are joined to nothing but the bounded keys.
     """
     sized = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.octet_length(value)).alias("_size"))
+    if marks is not None:
+        # Written before the join, which the optimizer would otherwise make on the values themselves.
+        sized = materialize(sized, "sizes").join(marks.select(key), key, "left_semi")
     taken, total = [], 0
     for r in sized.orderBy(F.xxhash64(key), key).limit(most).collect():
         if total + (r["_size"] or 0) <= most_bytes:
@@ -113,7 +117,10 @@ def bounded_sample(rows: DataFrame, key: str, value: str, most: int, most_bytes:
     others = [c for c in rows.columns if c not in (key, value)]
     # Of a key's rows one of the smallest size is taken.
     one = rows.join(F.broadcast(ids), key, "left_semi").groupBy(key).agg(F.min(F.struct(F.octet_length(value).alias("_size"), value, *others)).alias("of"))
-    return sorted(one.select(key, "of.*").drop("_size").collect(), key=lambda r: (zlib.crc32(str(r[key]).encode()), r[key]))
+    one = one.select(key, "of.*").drop("_size")
+    if marks is not None:
+        one = one.join(F.broadcast(marks.join(F.broadcast(ids), key, "left_semi")), key)
+    return sorted(one.collect(), key=lambda r: (zlib.crc32(str(r[key]).encode()), r[key]))
 
 
 _TYPES = {"doc_id": "bigint", "page_id": "bigint", "text": "string", "html": "string", "url": "string", "source": "string"}

@@ -10,11 +10,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from leafmill.llm import classifier, media, rules, secrets
 from leafmill.llm import html as pages
 from leafmill.llm import wordscan as ws
-from leafmill.llm.common import bounded_sample
+from leafmill.llm.common import bounded_sample, materialize
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -491,6 +492,31 @@ def test_classifier_learns_and_covers_whole_texts(spark):
     assert all(abs(classifier.scores(net, *ws.buffers(pa.array([t])))[0] - b) < 1e-4 for t, b in zip(late, both, strict=True))
 
 
+def shuffled_bytes(spark):
+    gateway, jvm = spark.sparkContext._gateway, spark._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("most", ["-1", "10MB"])
+def test_classifier_fit_shuffles_no_texts(spark, monkeypatch, most):
+    rng = random.Random(29)
+    texts = [(i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGH", k=8000)), i % 2) for i in range(400)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, quality int").repartition(4)
+    monkeypatch.setattr(classifier, "SAMPLE", 5)
+    monkeypatch.setattr(classifier, "train", lambda some, good: (some, good.tolist()))
+    table = materialize(frame, "frame")
+    before, limit = shuffled_bytes(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    try:
+        some, good = classifier.fit(table.select("doc_id", "text"), table.select("doc_id", "quality"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert shuffled_bytes(spark) - before < 400_000
+    marked = {t: g for _, t, g in texts}
+    assert len(some) == 5 and [marked[t.decode()] for t in some] == good
+
+
 def test_classifier_without_labels(spark, docs, nothing, labels):
     net = classifier.fit(docs, labels.limit(0))
     assert {r.score for r in classifier.score(docs, net).collect()} == {0.5}
