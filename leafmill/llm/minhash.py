@@ -7,9 +7,11 @@ Candidates are pairs that agree in all ROWS minima of one of BANDS bands; of two
 1. Every bucket's texts are held against its smallest node, whatever the bucket's size, and components are made.
 2. Buckets that still have several components are held against their hub, the node that has the smallest share of
    shingles that no other text of these buckets has; in a group of edited copies that is the least edited one.
-3. What lies outside its hub's component is held against the bucket's other components, but for pairs that can't reach
-   SIMILARITY by their sizes without those shingles, or by what falls into each of CELLS cells by hash (the lesser of
-   two counts bounds what is common there). Pairs within a component are never formed.
+3. What lies outside its hub's component is held against the other texts of that hub, by their shingles in the hub and
+   beside it. A pair is formed if the lesser of the two counts in the hub would do alone, or if they share shingles
+   beside the hub and these make it enough; the latter come from lists of shingles, so that edited copies that share
+   no edit never meet. What falls into each of CELLS cells by hash bounds the pairs again (the lesser of two counts
+   bounds what is common there). Pairs within a component are never formed.
 
 Words are lower-cased as for SimHash; shorter texts have one shingle; texts without words are equal. Equal shingle sets
 are one node, so copies cost nothing. Identity of shingles, sets and buckets rests on 64-bit hashes.
@@ -110,6 +112,20 @@ def _own(bodies: DataFrame, shingle: int) -> DataFrame:
     return single.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
 
 
+def _apart(shingle: int):
+    """Of node's shingles, how many the hub has, and those that it hasn't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in ws.pieces(batch, "text_a"):
+                both = list(zip(*(sets(*ws.buffers(part.column(c)), shingle) for c in ("text_a", "text_b")), strict=True))
+                beside = [np.setdiff1d(x, y, assume_unique=True).view(np.int64) for x, y in both]
+                common = [len(x) - len(z) for (x, _), z in zip(both, beside, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("hub"), pa.array(common, pa.int32()), pa.array(beside, pa.list_(pa.int64()))], ["node", "hub", "common", "beside"])
+
+    return run
+
+
 def _cells(bodies: DataFrame, shingle: int) -> DataFrame:
     """node, cells: how many of its shingles fall into each of CELLS cells by their hash."""
 
@@ -169,11 +185,35 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     rooted = left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main = hubs.select("band", "hub", "least_n").join(roots.select(F.col("node").alias("hub"), F.col("root").alias("main")), "hub", "left").select("band", "hub", "least_n", F.coalesce("main", "hub").alias("main"))
     reach = F.col("met") / (F.col("n") + F.greatest("least_n", "met") - F.col("met")) >= similarity
-    within = materialize(rooted.join(main, "band").where(reach).select("band", "node", "n", "root", "met", "hub", "main"), "within")
-    outside = within.where("root <> main and node <> hub")
-    other = within.where("node <> hub").select("band", "main", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "root", "met")])
-    once = (F.col("root_b") == F.col("main")) | (F.col("node") < F.col("node_b"))
-    pairs = outside.join(other, ["band", "main"]).where((F.col("root") != F.col("root_b")) & once & enough(F.least("met", "met_b")))
+    within = materialize(rooted.join(main, "band").where(reach).where("node <> hub").select("node", "n", "root", "hub", "main").distinct(), "within")
+    within_open = within.join(within.where("root <> main").select("hub").distinct(), "hub", "left_semi")
+    one = parted.select("node", F.col("text").alias("text_a"))
+    two = parted.select(F.col("node").alias("hub"), F.col("text").alias("text_b"))
+    split_up = within_open.select("node", "hub").join(two, "hub").join(one, "node").select("node", "hub", "text_a", "text_b").mapInArrow(_apart(shingle), "node long, hub long, common int, beside array<long>")
+    apart = materialize(within_open.join(split_up, ["node", "hub"]), "apart")
+
+    def against(rows: DataFrame, *keys: str) -> DataFrame:
+        """Pairs of a row outside its hub's component and one of another component, equal in the keys."""
+        outside = rows.where("root <> main").drop("main")
+        other = rows.select(*keys, "main", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "root", "common")])
+        once = (F.col("root_b") == F.col("main")) | (F.col("node") < F.col("node_b"))
+        return outside.join(other, list(keys)).where((F.col("root") != F.col("root_b")) & sized("n", "n_b") & once)
+
+    # In the hub two texts have at most the lesser count in common; beside it, what they share there.
+    fewest = apart.groupBy("hub").agg(F.min("n").alias("least_n"))
+    alone = F.col("common") / (F.col("n") + F.greatest("least_n", "common") - F.col("common")) >= similarity
+    able = apart.join(fewest, "hub").where(alone).select("hub", "node", "n", "root", "main", "common")
+    inside = against(able, "hub").where(enough(F.least("common", "common_b")))
+    listed = apart.select("hub", "node", "n", "root", "main", "common", F.explode("beside").alias("shingle"))
+    several = listed.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("hub", "shingle")
+    listed = listed.join(several, ["hub", "shingle"])
+    # A row whose shingles don't do with all of these in common is in no pair.
+    most = F.col("common") + F.col("_c")
+    usable = listed.groupBy("hub", "node", "n", "common").agg(F.count(F.lit(1)).alias("_c")).join(fewest, "hub").where(most / (F.col("n") + F.greatest("least_n", most) - most) >= similarity)
+    listed = listed.join(usable.select("hub", "node"), ["hub", "node"], "left_semi")
+    met_beside = against(listed, "hub", "shingle").groupBy("hub", "node", "node_b", "n", "n_b", "common", "common_b").agg(F.count(F.lit(1)).alias("_shared"))
+    beside = met_beside.where(enough(F.least("common", "common_b") + F.col("_shared")))
+    pairs = inside.select("node", "node_b", "n", "n_b").unionByName(beside.select("node", "node_b", "n", "n_b"))
     pairs = pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"), "n", "n_b").groupBy("a", "b").agg(F.first(F.col("n") + F.col("n_b")).alias("total"))
     pairs = materialize(pairs, "pairs")
     cells = materialize(_cells(parted.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), shingle), "cells")
@@ -181,7 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     in_cells = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     rest = linked(held.where(in_cells / (F.col("total") - in_cells) >= similarity).select("a", "b"))
     roots = materialize(components(stars.unionByName(rest)), "roots")
-    release(shared, bodies, part, parted, left, hubs, within, pairs, cells)
+    release(shared, bodies, part, parted, left, hubs, within, apart, pairs, cells)
 
     known = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = known.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -287,6 +287,32 @@ def test_links_of_one_edited_group(spark, monkeypatch):
     assert sizes["near"][0] and sizes["near"][1] and sizes["pairs"][0]
 
 
+def test_edited_copies_form_no_pairs(spark, monkeypatch):
+    sizes, write = collections.defaultdict(list), minhash.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        sizes[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    # Copies of one text with edits of few kinds: no shingle is a copy's own, and those with many edits link to none.
+    rng = random.Random(31)
+    base = [f"w{k}" for k in range(150)]
+    edits = [0] * 5 + [1] * 10 + [2] * 10 + [6] * 120
+    texts = []
+    for e in edits:
+        w = list(base)
+        for k in rng.sample(range(0, 150, 5), e):
+            w[k] = f"e{k}-{rng.randrange(4)}"
+        texts.append(" ".join(w))
+    copies = list(enumerate(texts))
+    want, _ = classes_by_hand(copies)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(copies, "doc_id long, text string")).collect()}
+    assert got == dict(zip(range(len(copies)), want, strict=True)) and len(set(want)) > 60
+    assert sizes["within"][0] > 100 and sizes["pairs"][0] < 1000
+
+
 def test_stage_links_nothing(nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
