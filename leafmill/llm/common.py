@@ -46,6 +46,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def stable_rows(df: DataFrame, row: str) -> DataFrame:
+    """df with a column `row` that names each row alike whenever it is read.
+
+    Plain reads of Parquet files have it from the file's path (by 64-bit hash) and the row's place in it; all else is
+    written once.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation":
+        relation = plan.relation()
+        if relation.getClass().getSimpleName() == "HadoopFsRelation" and relation.fileFormat().getClass().getSimpleName() == "ParquetFileFormat":
+            return df.withColumn(row, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+    return materialize(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+
+
 def release(*frames: DataFrame) -> None:
     """Delete materialised frames that nothing reads any more."""
     for df in frames:

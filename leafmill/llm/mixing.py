@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import columns, materialize, only, ranked
+from .common import columns, materialize, only, ranked, stable_rows
 
 LIMIT, CYCLE, TILT = 3, 3, 0.5
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -93,7 +93,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     A cut copy keeps its first words with the white space between them; n_chars, where there, follows.
     """
     row, words, size, place, turn = (f"_leafmill_{c}" for c in ("row", "words", "size", "position", "pass"))
-    kept = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    kept = stable_rows(docs, row)
     sized = only(kept, "doc_id", "source", "text", row).select("doc_id", "source", n_words().alias("size"), row)
     done = copies(schedule(sized)).select(row, F.col("words").alias(words), F.col("size").alias(size), F.col("position").alias(place), F.col("pass").alias(turn))
     out = kept.join(done, row)

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from leafmill.llm import minhash, mixing, packing, repeats, sharding, simhash
+from leafmill.llm import common, minhash, mixing, packing, repeats, sharding, simhash
 from leafmill.llm import queries as q
 from leafmill.llm import wordscan as ws
 from leafmill.llm.graph import components
@@ -520,6 +520,31 @@ def test_mixed_documents(docs, rows):
     assert +words == +want
 
 
+def test_mixed_files_are_not_written_again(spark, docs, rows, tmp_path, monkeypatch):
+    written, write = [], common.materialize
+
+    def noted(df, name):
+        written.append((name, "text" in df.columns))
+        return write(df, name)
+
+    for module in (common, mixing):
+        monkeypatch.setattr(module, "materialize", noted)
+    want = collections.Counter(map(str, mixing.mix_documents(docs).collect()))
+    assert ("rows", True) in written
+    written.clear()
+    # Rows that are all alike, in folders of files with equal names, are still rows of their own.
+    for k, part in enumerate(docs.randomSplit([1.0, 1.0], 3)):
+        part.coalesce(1).write.parquet(f"{tmp_path}/part={k}")
+    for k in (0, 1):
+        (found,) = (tmp_path / f"part={k}").glob("*.parquet")
+        found.rename(found.with_name("rows.parquet"))
+        (found.with_name(f".{found.name}.crc")).unlink()
+    files = spark.read.schema(docs.schema).parquet(*[f"{tmp_path}/part={k}" for k in (0, 1)])
+    got = mixing.mix_documents(files)
+    assert got.columns == docs.columns and collections.Counter(map(str, got.collect())) == want
+    assert written and not any(text for _, text in written)
+
+
 def test_positions_follow_schedules(spark):
     rows = [(i, f"s{i % 3}", 10) for i in range(3000)]
     sized = spark.createDataFrame(rows, "doc_id long, source string, size long")
