@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near duplicates (5-word shingles, Jaccard 0.8)."""
+    """One document, that of the smallest doc_id, of each group of near duplicates (SimHash, then Jaccard 0.8 of 5-word shingles)."""
     return simhash.keep_first(docs, minhash.near_duplicates)
 
 

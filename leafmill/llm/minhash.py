@@ -1,8 +1,11 @@
 """Near duplicates by the Jaccard similarity of word shingles: linked at SIMILARITY or more of SHINGLE-word shingles.
 
-SimHash can't find these: at a similarity of 0.8 its fingerprints differ in some 10 of 64 bits, and in 17 now and then.
-Candidates are pairs that agree in all ROWS minima of one of BANDS bands; of two texts at SIMILARITY s a share of
-(1 - s ** ROWS) ** BANDS is no candidate (3e-6 at 0.8). All else is exact: a candidate is linked by its shingle sets.
+Candidates come by SimHash (the module is named after MinHash bands, which it had before). With equal weights the
+fingerprints of two texts at a similarity of 0.8 differ in some 10 of 64 bits, beyond what the pigeonhole principle can
+find; so each text has TABLES fingerprints, under random weights of which a few are most of the sum (see
+simhash.weighted_fingerprints). At 0.8 about 42 % of the tables are within TAU bits, and a share of 2e-6 of the pairs in
+none; at 0.1 it is 5 % of them, so many candidates are false. simhash.links finds what is within TAU bits by partitions
+and thresholds, table by table; its components are the buckets. All else is exact: candidates are linked by their sets.
 
 1. Every bucket's texts are held against its smallest node, whatever the bucket's size, and components are made.
 2. Buckets that still have several components are held against their hub, the node that has the smallest share of
@@ -27,16 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from . import wordscan as ws
 from .common import materialize, only, release, tune
 from .graph import components
 from .simhash import joined_words
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 24, 4
 #: Cells by which two sets' common part is bounded.
 CELLS = 256
-_SEEDS = np.random.Generator(np.random.PCG64(20240611)).integers(1, 1 << 63, (BANDS * ROWS + BANDS, 2), dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -58,30 +60,21 @@ def sets(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> list[np.n
     return [np.unique(hashes[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
 
 
-def bands(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The bucket of each row in each band; the rows must have shingles."""
-    out = np.empty((len(begin) - 1, BANDS), np.uint64)
-    for j in range(BANDS):
-        key = np.full(len(out), _SEEDS[BANDS * ROWS + j, 0], np.uint64)
-        for a, c in _SEEDS[j * ROWS : (j + 1) * ROWS]:
-            key = ws.mix(key ^ np.minimum.reduceat((hashes ^ c) * a, begin[:-1])) * a
-        out[:, j] = ws.mix(key)
-    return out
-
-
 def _prints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in ws.pieces(batch):
-                hashes, begin = shingles(*ws.buffers(part.column("text")), shingle)
-                own = [np.unique(hashes[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+                own = sets(*ws.buffers(part.column("text")), shingle)
                 node = [int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True) for s in own]
-                some = np.flatnonzero(np.diff(begin))
-                width = np.zeros(len(own) + 1, np.int32)
-                width[some + 1] = BANDS
-                keys = bands(hashes, np.concatenate([begin[some], begin[-1:]])).reshape(-1) if len(some) else np.zeros(0, np.uint64)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(width, dtype=np.int32)), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(node, pa.int64()), pa.array([len(s) for s in own], pa.int32()), lists], ["doc_id", "key", "node", "n", "bands"])
+                n = np.array([len(s) for s in own])
+                begin = np.zeros(len(n) + 1, np.int64)
+                np.cumsum(n, out=begin[1:])
+                # Texts without words have one node, and need no fingerprints to meet.
+                fps = simhash.weighted_fingerprints(np.concatenate(own), begin)[n > 0].reshape(-1)
+                width = np.zeros(len(n) + 1, np.int32)
+                width[1:] = (n > 0) * simhash.TABLES
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(width, dtype=np.int32)), pa.array(fps.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), lists], ["doc_id", "key", "node", "n", "fps"])
 
     return run
 
@@ -138,13 +131,25 @@ def _cells(bodies: DataFrame, shingle: int) -> DataFrame:
     return bodies.select("node", "text").mapInArrow(run, "node long, cells array<int>")
 
 
+def buckets(nodes: DataFrame) -> DataFrame:
+    """node, n, band for every table of nodes (node, n, fps): a band is a component of a table's fingerprints."""
+    rows = nodes.select("node", "n", F.posexplode("fps").alias("table", "fp"))
+    prints = materialize(rows.select("table", "fp").distinct(), "tables")
+    sample = np.array([r[0] for r in prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(simhash.SAMPLE).collect()], np.int64).view(np.uint64)
+    # Fingerprints meet those of their own table alone.
+    found = simhash.links(prints, simhash.plan(sample, prints.count() // simhash.TABLES))
+    roots = materialize(components(found).select(F.col("node").alias("fp"), "root"), "bands")
+    release(prints, found)
+    return rows.join(roots, "fp", "left").select("node", "n", F.coalesce("root", "fp").alias("band"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id for every row of docs; component_id is the smallest doc_id reachable by links."""
     tune(docs.sparkSession)
     texts = only(docs, "doc_id", "text").withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    prints = materialize(texts.mapInArrow(_prints(shingle), "doc_id long, key binary, node long, n int, bands array<long>"), "prints")
-    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "key")).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
-    rows = nodes.select("node", "n", F.explode("bands").alias("band"))
+    prints = materialize(texts.mapInArrow(_prints(shingle), "doc_id long, key binary, node long, n int, fps array<long>"), "prints")
+    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "key")).alias("at"), F.first("n").alias("n"), F.first("fps").alias("fps")), "nodes")
+    rows = buckets(nodes)
     pivots = rows.groupBy("band").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
     shared = materialize(rows.join(pivots, "band").select("band", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "shared")
 

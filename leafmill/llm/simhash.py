@@ -33,6 +33,11 @@ SAMPLE = 2048
 BUCKET = 48
 #: Bytes from which a text is hashed in windows.
 LONG = 4 << 20
+#: Fingerprints of a text under random weights, and the shingles that are weighed at once.
+TABLES, SLICE = 24, 8192
+_RANDOM = np.random.Generator(np.random.PCG64(20240612))
+_SALTS = _RANDOM.integers(1, 1 << 63, 2 * TABLES + 1, dtype=np.uint64)
+_FACTORS = _RANDOM.integers(1, 1 << 63, TABLES, dtype=np.uint64) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -95,6 +100,29 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def weighted_fingerprints(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """TABLES fingerprints for each row's set of shingle hashes, rows x TABLES; rows without shingles have no use of theirs.
+
+    A shingle weighs 2 ** 32 / r in a table, r being its own random number from 1 to 2 ** 32 there. So few shingles
+    decide a table's fingerprint, and sets that share most of theirs differ in few bits of many tables, though in a
+    seventh of the bits by equal weights. Sums are whole numbers below 2 ** 53: exact, and alike in any order.
+    """
+    out, sums = np.zeros((len(begin) - 1, TABLES), np.uint64), np.zeros((TABLES, BITS))
+    for a in range(0, len(hashes), SLICE):
+        some = hashes[a : a + SLICE]
+        signs = np.unpackbits(ws.mix(some ^ _SALTS[0]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64) * 2 - 1
+        weights = np.floor(2.0**32 / ((((some ^ _SALTS[1 : TABLES + 1, None]) * _FACTORS[:, None]) >> np.uint64(32)) + 1.0))
+        for row in range(int(np.searchsorted(begin, a, "right")) - 1, int(np.searchsorted(begin, a + len(some)))):
+            i, j = max(int(begin[row]) - a, 0), min(int(begin[row + 1]) - a, len(some))
+            if i < j:
+                sums += weights[:, i:j] @ signs[i:j]
+                if begin[row + 1] <= a + len(some):
+                    out[row] = np.packbits(sums > 0, axis=1, bitorder="little").view("<u8")[:, 0]
+                    sums[:] = 0
+    # No two tables share fingerprints, so that all can be linked at once.
+    return out ^ _SALTS[TABLES + 1 :]
+
+
 def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
@@ -158,29 +186,36 @@ def _signed(mask: int) -> int:
 
 
 def links(nodes: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame:
-    """a, b: links between different fingerprints of nodes (fp) that connect all within TAU bits of each other."""
+    """a, b: links between different fingerprints of nodes (fp) that connect all within TAU bits of each other.
+
+    If nodes have a `table`, only fingerprints of one table need be connected.
+    """
     exact, probes = None, None
+    table = F.col("table").cast("int") if "table" in nodes.columns else F.lit(0)
     for k, (group, t) in enumerate(chosen):
         mask = sum(1 << b for b in group)
         flips = [sum(1 << b for b in some) for d in range(t + 1) for some in combinations(group, d)]
         key = F.col("fp").bitwiseAND(F.lit(_signed(mask)).cast("long"))
-        here = nodes.select("fp", F.lit(k).alias("part"), key.alias("key"))
+        here = nodes.select("fp", (F.lit(k) + len(chosen) * table).alias("part"), key.alias("key"))
         exact = here if exact is None else exact.unionByName(here)
         there = here.withColumn("key", F.explode(F.array(*[F.col("key").bitwiseXOR(F.lit(_signed(f)).cast("long")) for f in flips]))) if t else here
         probes = there if probes is None else probes.unionByName(there)
     assert exact is not None and probes is not None
-    exact, probes = materialize(exact, "keys"), materialize(probes, "probes")
+    plain = not any(t for _, t in chosen)
+    exact = materialize(exact, "keys")
+    probes = exact if plain else materialize(probes, "probes")
     full = materialize(probes.groupBy("part", "key").count().where(F.col("count") > BUCKET).select("part", "key"), "full")
     crowded = probes.join(full, ["part", "key"], "left_semi").select("fp").distinct()
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= TAU
     left = probes.join(full, ["part", "key"], "left_anti").select("part", "key", F.col("fp").alias("a"))
-    right = exact.select("part", "key", F.col("fp").alias("b"))
-    pairs = left.join(right, (left["part"] == right["part"]) & (left["key"] == right["key"]) & (F.col("a") != F.col("b")) & near).select("a", "b")
+    # Where nothing is probed both sides are the same rows, dealt once.
+    right = left.withColumnRenamed("a", "b") if plain else exact.select("part", "key", F.col("fp").alias("b"))
+    pairs = left.join(right, ["part", "key"]).where((F.col("a") != F.col("b")) & near).select("a", "b")
     around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << b)).cast("long")) for b in range(BITS)])
     balls = crowded.select("fp", F.explode(around).alias("key")).groupBy("key").agg(F.sort_array(F.collect_set("fp")).alias("in")).where(F.size("in") > 1)
     stars = balls.select(F.explode(F.slice("in", 2, BITS)).alias("a"), F.col("in")[0].alias("b"))
     out = materialize(pairs.unionByName(stars).distinct(), "near")
-    release(exact, probes, full)
+    release(*([exact] if plain else [exact, probes]), full)
     return out
 
 

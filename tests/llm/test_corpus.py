@@ -252,6 +252,39 @@ def test_stage_links_edited_copies(spark, docs, rows):
     assert got == collections.Counter((r[0], c) for r, c in zip(rows, want, strict=True))
 
 
+def test_stage_meets_by_simhash(spark, monkeypatch):
+    copies = edited_copies()
+    sets = [minhash.sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for _, t in copies]
+    begin = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    prints = simhash.weighted_fingerprints(np.concatenate(sets), begin)
+    # By hand: the sign of each bit's weighted sum, in any order and in slices.
+    low = (1 << 64) - 1
+    for row in (0, 5):
+        for k in (0, 7, simhash.TABLES - 1):
+            sums = [0] * 64
+            for h in map(int, sets[row]):
+                weight = 2**32 // ((((h ^ int(simhash._SALTS[1 + k])) * int(simhash._FACTORS[k]) & low) >> 32) + 1)
+                signs = int(ws.mix(np.array([h], np.uint64) ^ simhash._SALTS[0])[0])
+                sums = [s + (weight if signs >> b & 1 else -weight) for b, s in enumerate(sums)]
+            assert int(prints[row, k]) == sum(1 << b for b, s in enumerate(sums) if s > 0) ^ int(simhash._SALTS[simhash.TABLES + 1 + k])
+    monkeypatch.setattr(simhash, "SLICE", 61)
+    assert (simhash.weighted_fingerprints(np.concatenate([s[::-1] for s in sets]), begin) == prints).all()
+    # All links are within the distance in some table, and the stage has its candidates from the links of the tables.
+    grams = [grams_by_hand(t) for _, t in copies]
+    close = [(i, j) for i in range(len(grams)) for j in range(i) if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])]
+    assert len(close) > 100 and all((np.bitwise_count(prints[i] ^ prints[j]) <= simhash.TAU).any() for i, j in close)
+    linked, link = [], simhash.links
+
+    def noted(nodes, chosen):
+        linked.append((nodes.count(), sum(t + 1 for _, t in chosen)))
+        return link(nodes, chosen)
+
+    monkeypatch.setattr(simhash, "links", noted)
+    want, _ = classes_by_hand(copies)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(copies, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(want)) and linked == [(len(np.unique(prints)), simhash.TAU + 1)]
+
+
 def one_edited_group():
     """Copies of one text, edited so that many pairs lie on either side of the similarity, with lasting sub-families."""
     rng = random.Random(5)
