@@ -7,14 +7,15 @@ simhash.weighted_fingerprints). At 0.8 about 42 % of the tables are within TAU b
 none; at 0.1 it is 5 % of them, so many candidates are false. simhash.links finds what is within TAU bits by partitions
 and thresholds, table by table; its components are the buckets. All else is exact: candidates are linked by their sets.
 
-1. Every bucket's texts are held against its smallest node, whatever the bucket's size, and components are made.
+0. Sizes, and what falls into each of CELLS cells by hash, bound any pair before texts are read (the lesser of two counts
+   bounds what is common there). Of buckets of up to SMALL nodes all pairs are formed and bounded so.
+1. Every other bucket's texts are held against its smallest node, whatever the bucket's size, and components are made.
 2. Buckets that still have several components are held against their hub, the node that has the smallest share of
    shingles that no other text of these buckets has; in a group of edited copies that is the least edited one.
 3. What lies outside its hub's component is held against the other texts of that hub, by their shingles in the hub and
    beside it. A pair is formed if the lesser of the two counts in the hub would do alone, or if they share shingles
    beside the hub and these make it enough; the latter come from lists of shingles, so that edited copies that share
-   no edit never meet. What falls into each of CELLS cells by hash bounds the pairs again (the lesser of two counts
-   bounds what is common there). Pairs within a component are never formed.
+   no edit never meet. Pairs within a component are never formed.
 
 Words are lower-cased as for SimHash; shorter texts have one shingle; texts without words are equal. Equal shingle sets
 are one node, so copies cost nothing. Identity of shingles, sets and buckets rests on 64-bit hashes.
@@ -23,10 +24,12 @@ are one node, so copies cost nothing. Identity of shingles, sets and buckets res
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,8 @@ from .simhash import joined_words
 SHINGLE, SIMILARITY = 5, 0.8
 #: Cells by which two sets' common part is bounded.
 CELLS = 256
+#: Rows of a bucket of which all pairs are held against each other's cells.
+SMALL = 16
 
 
 def shingles(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +72,8 @@ def _prints(shingle: int):
                 own = sets(*ws.buffers(part.column("text")), shingle)
                 node = [int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little", signed=True) for s in own]
                 n = np.array([len(s) for s in own])
+                cells = [np.bincount((s >> np.uint64(32)).astype(np.int64) % CELLS, minlength=CELLS) for s in own]
+                cells = pa.array([c.astype(np.uint8).tobytes() if c.max() < 256 else None for c in cells], pa.binary())
                 begin = np.zeros(len(n) + 1, np.int64)
                 np.cumsum(n, out=begin[1:])
                 # Texts without words have one node, and need no fingerprints to meet.
@@ -74,7 +81,7 @@ def _prints(shingle: int):
                 width = np.zeros(len(n) + 1, np.int32)
                 width[1:] = (n > 0) * simhash.TABLES
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(width, dtype=np.int32)), pa.array(fps.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), lists], ["doc_id", "key", "node", "n", "fps"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), cells, lists], ["doc_id", "key", "node", "n", "cells", "fps"])
 
     return run
 
@@ -119,58 +126,90 @@ def _apart(shingle: int):
     return run
 
 
-def _cells(bodies: DataFrame, shingle: int) -> DataFrame:
-    """node, cells: how many of its shingles fall into each of CELLS cells by their hash."""
+def _possible(similarity: float):
+    """Pairs that what falls into each cell lets reach the similarity; sets too large for such counts are kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in ws.pieces(batch):
-                cells = [np.bincount((s >> np.uint64(32)).astype(np.int64) % CELLS, minlength=CELLS) for s in sets(*ws.buffers(part.column("text")), shingle)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([c.astype(np.int32) for c in cells], pa.list_(pa.int32()))], ["node", "cells"])
+            known = np.asarray(pc.and_(batch.column("cells_a").is_valid(), batch.column("cells_b").is_valid()))
+            a, b = (np.frombuffer(b"".join(batch.column(c).filter(pa.array(known)).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("cells_a", "cells_b"))
+            common, total = np.minimum(a, b).sum(1, dtype=np.int64), a.sum(1, dtype=np.int64) + b.sum(1, dtype=np.int64)
+            keep = np.ones(batch.num_rows, bool)
+            keep[known] = common / np.maximum(total - common, 1) >= similarity
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return bodies.select("node", "text").mapInArrow(run, "node long, cells array<int>")
+    return run
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """node, n, band for every table of nodes (node, n, fps): a band is a component of a table's fingerprints."""
+    """node, n, band of nodes (node, n, fps) that meet others: a band is a component of one table's fingerprints."""
     rows = nodes.select("node", "n", F.posexplode("fps").alias("table", "fp"))
-    prints = materialize(rows.select("table", "fp").distinct(), "tables")
+    prints = materialize(rows.groupBy("table", "fp").agg(F.count(F.lit(1)).alias("_c")), "tables")
     sample = np.array([r[0] for r in prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(simhash.SAMPLE).collect()], np.int64).view(np.uint64)
     # Fingerprints meet those of their own table alone.
-    found = simhash.links(prints, simhash.plan(sample, prints.count() // simhash.TABLES))
-    roots = materialize(components(found).select(F.col("node").alias("fp"), "root"), "bands")
-    release(prints, found)
-    return rows.join(roots, "fp", "left").select("node", "n", F.coalesce("root", "fp").alias("band"))
+    found = simhash.links(prints.select("table", "fp"), simhash.plan(sample, prints.count() // simhash.TABLES))
+    roots = materialize(components(found).select(F.col("node").alias("fp"), F.col("root").alias("band")), "bands")
+    equal = prints.where("_c > 1").join(roots, "fp", "left_anti").select("fp", F.col("fp").alias("band"))
+    out = materialize(rows.join(roots.unionByName(equal), "fp").select("node", "n", "band"), "met")
+    release(prints, found, roots)
+    return out
+
+
+def paired(rows: DataFrame, similarity: float) -> DataFrame:
+    """The rows (band, n, ...) but those that no other of their band could equal at the similarity, by their sizes.
+
+    Sizes within the similarity of each other are in one class or in classes beside each other.
+    """
+    classed = rows.withColumn("_class", F.floor(F.log(F.col("n").cast("double")) / (-1.001 * math.log(similarity))).cast("int"))
+    counts = classed.groupBy("band", "_class").agg(F.count(F.lit(1)).alias("_c"))
+    per = counts.groupBy("band").agg(F.collect_list("_class").alias("_classes"), F.collect_list(F.when(F.col("_c") > 1, F.col("_class"))).alias("_several"))
+    beside = F.array_contains("_classes", F.col("_class") + 1) | F.array_contains("_classes", F.col("_class") - 1)
+    return classed.join(per, "band").where(beside | F.array_contains("_several", F.col("_class"))).select(*rows.columns)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id for every row of docs; component_id is the smallest doc_id reachable by links."""
     tune(docs.sparkSession)
     texts = only(docs, "doc_id", "text").withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    prints = materialize(texts.mapInArrow(_prints(shingle), "doc_id long, key binary, node long, n int, fps array<long>"), "prints")
-    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "key")).alias("at"), F.first("n").alias("n"), F.first("fps").alias("fps")), "nodes")
-    rows = buckets(nodes)
+    prints = materialize(texts.mapInArrow(_prints(shingle), "doc_id long, key binary, node long, n int, cells binary, fps array<long>"), "prints")
+    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "key")).alias("at"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("fps").alias("fps")), "nodes")
+    met = buckets(nodes)
+    rows = paired(met, similarity)
     pivots = rows.groupBy("band").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
-    shared = materialize(rows.join(pivots, "band").select("band", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "shared")
+    shared = materialize(rows.join(pivots, "band").select("band", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), "_c"), "shared")
+    release(met)
+
+    def sized(x: str, y: str):
+        return F.least(x, y) / F.greatest(x, y) >= similarity
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        one, two = (cells.select(F.col("node").alias(x), F.col("cells").alias(f"cells_{x}")) for x in ("a", "b"))
+        return materialize(materialize(pairs.distinct(), "held").join(two, "b").join(one, "a").select("a", "b", "cells_a", "cells_b").mapInArrow(_possible(similarity), "a long, b long"), "possible")
+
+    cells = materialize(nodes.select("node", "cells").join(shared.select("node").distinct(), "node", "left_semi"), "cells")
+    # All pairs of small buckets, and of the others those with the pivot.
+    small = shared.where(F.col("_c") <= SMALL).select("band", "node", "n")
+    both = small.join(small.select("band", F.col("node").alias("node_b"), F.col("n").alias("n_b")), "band").where((F.col("node") < F.col("node_b")) & sized("n", "n_b"))
+    star = shared.where((F.col("_c") > SMALL) & (F.col("node") != F.col("pivot")) & sized("n", "pivot_n"))
+    first = possible(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).unionByName(both.select(F.col("node").alias("a"), F.col("node_b").alias("b"))))
+    # What could equal none but the pivot is settled.
+    others = materialize(paired(shared.where((F.col("_c") > SMALL) & (F.col("node") != F.col("pivot"))).select("band", "node", "n"), similarity), "others")
 
     # The texts of candidates, one row a node.
-    wanted = nodes.join(shared.select("node").distinct(), "node").select("node", F.col("at.key").alias("_key"), F.col("at.doc_id").alias("_id"))
+    wanted = nodes.join(first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(others.select("node")).distinct(), "node").select("node", F.col("at.key").alias("_key"), F.col("at.doc_id").alias("_id"))
     met = texts.join(wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     bodies = materialize(met.select("node", "text").dropDuplicates(["node"]), "bodies")
 
     def linked(pairs: DataFrame) -> DataFrame:
         one = bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         two = bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return materialize(pairs.distinct().join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(_alike(shingle, similarity), "a long, b long"), "near")
-
-    def sized(x: str, y: str):
-        return F.least(x, y) / F.greatest(x, y) >= similarity
+        return materialize(pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(_alike(shingle, similarity), "a long, b long"), "near")
 
-    stars = linked(shared.where((F.col("node") != F.col("pivot")) & sized("n", "pivot_n")).select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    stars = linked(first)
     roots = materialize(components(stars), "roots")
-    placed = shared.join(roots, "node", "left").select("band", "node", "n", "pivot", F.coalesce("root", "node").alias("root"))
+    placed = others.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
     split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    part = materialize(placed.join(split, "band", "left_semi").where("node <> pivot").select("band", "node", "n", "root"), "part")
+    part = materialize(placed.join(split, "band", "left_semi"), "part")
     parted = materialize(bodies.join(part.select("node").distinct(), "node"), "parted")
     met = F.col("n") - F.coalesce("own", F.lit(0))
     left = materialize(part.join(_own(parted, shingle), "node", "left").select("band", "node", "n", "root", met.alias("met")), "left")
@@ -182,7 +221,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     hub = F.max(F.struct((F.col("met") / F.col("n")).alias("share"), F.col("node").alias("hub"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("met").alias("met_b")))
     hubs = materialize(left.groupBy("band").agg(hub.alias("h"), F.min("n").alias("least_n")).select("band", "least_n", "h.*"), "hubs")
     again = left.join(hubs, "band").where((F.col("root") != F.col("root_b")) & enough(F.least("met", "met_b")))
-    again = linked(again.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    again = linked(possible(again.select(F.col("hub").alias("a"), F.col("node").alias("b"))))
     stars = stars.unionByName(again)
     roots = materialize(components(stars), "roots")
 
@@ -219,14 +258,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     met_beside = against(listed, "hub", "shingle").groupBy("hub", "node", "node_b", "n", "n_b", "common", "common_b").agg(F.count(F.lit(1)).alias("_shared"))
     beside = met_beside.where(enough(F.least("common", "common_b") + F.col("_shared")))
     pairs = inside.select("node", "node_b", "n", "n_b").unionByName(beside.select("node", "node_b", "n", "n_b"))
-    pairs = pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"), "n", "n_b").groupBy("a", "b").agg(F.first(F.col("n") + F.col("n_b")).alias("total"))
+    pairs = pairs.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"), "n", "n_b").select("a", "b").distinct()
     pairs = materialize(pairs, "pairs")
-    cells = materialize(_cells(parted.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), shingle), "cells")
-    held = pairs.join(cells.select(F.col("node").alias("a"), F.col("cells").alias("cells_a")), "a").join(cells.select(F.col("node").alias("b"), F.col("cells").alias("cells_b")), "b")
-    in_cells = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    rest = linked(held.where(in_cells / (F.col("total") - in_cells) >= similarity).select("a", "b"))
+    rest = linked(possible(pairs.select("a", "b")))
     roots = materialize(components(stars.unionByName(rest)), "roots")
-    release(shared, bodies, part, parted, left, hubs, within, apart, pairs, cells)
+    release(shared, others, first, bodies, part, parted, left, hubs, within, apart, pairs, cells)
 
     known = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = known.groupBy("root").agg(F.min("first_id").alias("component_id"))

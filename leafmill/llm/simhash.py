@@ -204,18 +204,20 @@ def links(nodes: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame:
     plain = not any(t for _, t in chosen)
     exact = materialize(exact, "keys")
     probes = exact if plain else materialize(probes, "probes")
-    full = materialize(probes.groupBy("part", "key").count().where(F.col("count") > BUCKET).select("part", "key"), "full")
+    several = materialize(probes.groupBy("part", "key").count().where(F.col("count") > (1 if plain else BUCKET)), "several")
+    full = several.where(F.col("count") > BUCKET).select("part", "key")
     crowded = probes.join(full, ["part", "key"], "left_semi").select("fp").distinct()
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= TAU
-    left = probes.join(full, ["part", "key"], "left_anti").select("part", "key", F.col("fp").alias("a"))
-    # Where nothing is probed both sides are the same rows, dealt once.
+    # Where nothing is probed both sides are the same rows, and only keys that several have are of use.
+    left = probes.join(several.where(F.col("count") <= BUCKET), ["part", "key"], "left_semi") if plain else probes.join(full, ["part", "key"], "left_anti")
+    left = left.select("part", "key", F.col("fp").alias("a"))
     right = left.withColumnRenamed("a", "b") if plain else exact.select("part", "key", F.col("fp").alias("b"))
     pairs = left.join(right, ["part", "key"]).where((F.col("a") != F.col("b")) & near).select("a", "b")
     around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << b)).cast("long")) for b in range(BITS)])
     balls = crowded.select("fp", F.explode(around).alias("key")).groupBy("key").agg(F.sort_array(F.collect_set("fp")).alias("in")).where(F.size("in") > 1)
     stars = balls.select(F.explode(F.slice("in", 2, BITS)).alias("a"), F.col("in")[0].alias("b"))
     out = materialize(pairs.unionByName(stars).distinct(), "near")
-    release(*([exact] if plain else [exact, probes]), full)
+    release(*([exact] if plain else [exact, probes]), several)
     return out
 
 
