@@ -267,4 +267,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     known = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = known.join(least, "root").select("node", "component_id")
-    return prints.select("doc_id", "node").join(known, "node").select("doc_id", "component_id")
+    out = materialize(prints.select("doc_id", "node").join(known, "node").select("doc_id", "component_id"), "found")
+    release(prints, nodes, roots)
+    return out
