@@ -2,14 +2,14 @@
 
 For strings of one length (a Scale):
 
-1. Anchors. Every window of that length has an anchor: the leftmost smallest of the hashes of its strings of `kmer`
-   bytes. A run of windows with one anchor is a context of fewer than twice the length. Equal windows have equal anchors
+1. Anchors. Every window of that length has an anchor: of its strings of `kmer` bytes the leftmost with the smallest
+   quick hash, known from then on by a hash of 62 bits, which is made of the anchors alone. A run of windows with one anchor is a context of fewer than twice the length. Equal windows have equal anchors
    at equal distances, so only contexts whose anchor's hash occurs twice or more can hold a repeated window.
 2. Buckets. Contexts are dealt by their anchor's hash; equal ones become one with its number of copies, counted
    before the shuffle. Their bytes are fetched once from one text that has them. The contexts of an anchor that has
    more than CROWD are dealt anew, window by window, by an anchor under another hash; so a frequent string whose
    surroundings differ is spread over as many buckets, and what stays together has more than one string in common.
-3. Burrows-Wheeler transforms. The contexts of a bucket are split into shards of SHARD bytes. Over an alphabet of
+3. Burrows-Wheeler transforms. The contexts of a bucket are split into even shards of about SHARD bytes. Over an alphabet of
    blocks of bytes each shard's suffixes are sorted and its transform (the block before each suffix) kept; shards are
    then merged, two by two, from their transforms alone by refining an interleave: a stable sort of the interleaved
    symbols orders suffixes by one more block. In the last merge the places where neighbours part give the common
@@ -30,6 +30,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,53 @@ CROWD, CHUNK, SHARD = 4_000, 1 << 19, 1 << 18
 LEVELS = 3
 #: Bits of a packed key that hold a place; longer texts are scanned in slices.
 _PLACE = 23
+#: Places whose hashes are made at a time, so that what that takes stays in the processor's cache.
+_STEP = 1 << 15
+#: Odd, with its powers and numbers for bytes modulo 2 ** 64 for the hash that only chooses anchors.
+_ODD = 0x9E3779B97F4A7C15
+_BYTE = np.random.Generator(np.random.PCG64(20240608)).integers(1, 1 << 64, 256, dtype=np.uint64)
+
+
+@cache
+def _odd_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _ODD and of its inverse modulo 2 ** 64, for exponents below n."""
+    up, down = (np.full(n, x, np.uint64) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+    up[:1], down[:1] = 1, 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def choosing_hash(data: np.ndarray, width: int) -> np.ndarray:
+    """A quick hash of the `width` bytes at each place. Anchors are chosen by it, nothing is held equal for it."""
+    out = np.empty(max(0, len(data) - width + 1), np.uint64)
+    up, down = _odd_powers(_STEP + width)
+    for at in range(0, len(out), _STEP):
+        some = data[at : at + _STEP + width - 1]
+        n = len(some) - width + 1
+        sums = np.zeros(len(some) + 1, np.uint64)
+        np.cumsum(_BYTE[some] * up[: len(some)], out=sums[1:])
+        np.multiply(sums[width:] - sums[:n], down[:n], out=out[at : at + n])
+    return out
+
+
+def prefix_hash(data: np.ndarray) -> np.ndarray:
+    """wordscan.prefix_hash with the bytes as they are, whose sums need no residues: for up to 2 ** 23 bytes."""
+    out = np.zeros((2, len(data) + 1), np.uint64)
+    power = ws.powers(len(data))
+    for k in range(2):
+        np.cumsum(np.multiply(data, power[k], dtype=np.uint64), out=out[k, 1:])
+    return out
+
+
+def place_hash(data: np.ndarray, width: int) -> np.ndarray:
+    """62 bits for the `width` bytes at each place, by both polynomials."""
+    out = np.empty(max(0, len(data) - width + 1), np.uint64)
+    for at in range(0, len(out), _STEP):
+        some = data[at : at + _STEP + width - 1]
+        n = len(some) - width + 1
+        sums, inverse = prefix_hash(some), ws.powers(n)[2:]
+        high, low = (ws.product(sums[k, width:] - sums[k, :n], inverse[k]) for k in range(2))
+        out[at : at + n] = (high << np.uint64(31)) | low
+    return out
 
 
 def contexts(data: np.ndarray, off: np.ndarray, scale: Scale, salt: int = 0) -> tuple[np.ndarray, ...]:
@@ -86,37 +134,59 @@ def _contexts(data: np.ndarray, off: np.ndarray, scale: Scale, salt: int) -> tup
     count = np.maximum(np.diff(off) - scale.length + 1, 0)
     if n <= 0 or not count.any():
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-    sums = ws.prefix_hash(data)
-    at = np.arange(len(data) - scale.kmer + 1)
-    kmers = ws.range_hash(sums, at, at + scale.kmer)
+    chosen = choosing_hash(data, scale.kmer)
     if salt:
-        kmers = ws.mix(kmers ^ ws.mix(np.full(1, salt, np.uint64)))
-    packed = (kmers & ~np.uint64((1 << _PLACE) - 1)) | at.astype(np.uint64)
+        chosen = ws.mix(chosen ^ ws.mix(np.full(1, salt, np.uint64)))
+    low = np.uint64((1 << _PLACE) - 1)
     span = scale.span
-    blocks = -(-len(packed) // span)
+    blocks = -(-len(chosen) // span)
     table = np.full(blocks * span, np.iinfo(np.uint64).max, np.uint64)
-    table[: len(packed)] = packed
+    np.bitwise_or(chosen & ~low, np.arange(len(chosen), dtype=np.uint64), out=table[: len(chosen)])
     table = table.reshape(blocks, span)
     upto = np.minimum.accumulate(table, axis=1).reshape(-1)
     onward = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     least = np.minimum(onward[:n], upto[span - 1 : span - 1 + n])
-    start = np.concatenate([[0], np.cumsum(count)])
-    window = np.arange(start[-1]) + np.repeat(off[:-1] - start[:-1], count)
-    least = least[window]
-    first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    number = np.diff(np.concatenate([first, [len(window)]]))
-    begin = window[first]
+    # A context begins where the anchor changes and at a row's first window, and ends before the next or with its row.
+    full = np.flatnonzero(count)
+    fresh = np.ones(n, bool)
+    np.not_equal(least[1:], least[:-1], out=fresh[1:])
+    fresh[off[full]] = True
+    begin = np.flatnonzero(fresh)
     row = np.searchsorted(off, begin, "right") - 1
-    anchor = kmers[(least[first] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)]
-    return row, begin - off[row], number, anchor, ws.range_hash(sums, begin, begin + number + scale.length - 1)
+    inside = begin < off[row] + count[row]
+    begin, row = begin[inside], row[inside]
+    number = np.minimum(np.append(begin[1:], n), off[row] + count[row]) - begin
+    place = (least[begin] & low).astype(np.int64)
+    sums = prefix_hash(data)
+    return row, begin - off[row], number, ws.range_hash(sums, place, place + scale.kmer), ws.range_hash(sums, begin, begin + number + scale.length - 1)
 
 
-def stable_order(symbols: np.ndarray) -> np.ndarray:
-    """argsort(kind="stable") of numbers of 0 up, by one sort of the numbers with their places below them."""
+def stable_order(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """argsort(kind="stable") of numbers of 0 up, by one sort of the numbers with their places below them; and sorted."""
     bits = np.int64(max(1, len(symbols)).bit_length())
     keys = (symbols << bits) | np.arange(len(symbols))
     keys.sort()
-    return keys & ((np.int64(1) << bits) - 1)
+    return keys & ((np.int64(1) << bits) - 1), keys >> bits
+
+
+def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of hashes of 62 bits, and a number from 1 for each of the different ones, in that order.
+
+    One sort of their upper bits with their places below them.
+    """
+    low = np.uint64((1 << len(hashes).bit_length()) - 1)
+    keys = ((hashes << np.uint64(2)) & ~low) | np.arange(len(hashes), dtype=np.uint64)
+    keys.sort()
+    order = (keys & low).view(np.int64)
+    full = hashes[order]
+    parts = np.ones(len(hashes), bool)
+    parts[1:] = full[1:] != full[:-1]
+    if np.any(parts[1:] & ((keys[1:] ^ keys[:-1]) <= low)):
+        # Different hashes with equal upper bits may stand mixed.
+        order = np.argsort(hashes, kind="stable")
+        full = hashes[order]
+        parts[1:] = full[1:] != full[:-1]
+    return order, np.cumsum(parts)
 
 
 class Transform:
@@ -126,80 +196,99 @@ class Transform:
         self.symbols, self.where = symbols, where
 
 
-def transform(symbols: np.ndarray, off: np.ndarray, block: int) -> Transform:
+def transform(symbols: np.ndarray, off: np.ndarray, block: int, first: np.ndarray) -> Transform:
     """From the block number (1 up) at each place and the strings' first places: sorted to the end of every string.
 
-    Each string is `block` interleaved strings of blocks; the places past its last whole block are their ends.
+    Each string is `block` interleaved strings of blocks; the places past its last whole block are their ends. `first`
+    has the other places in the order of their numbers, which is the first round.
     """
-    n = len(symbols)
-    before = np.full(n, 0, np.int64)
-    inside = np.arange(n) - np.repeat(off[:-1], np.diff(off)) >= block
-    before[inside] = symbols[np.flatnonzero(inside) - block]
-    order = np.arange(n)
-    ends = symbols == 0
-    for _ in range(_deepest(off, block)):
+    before = np.zeros(len(symbols), np.int64)
+    before[block:] = symbols[:-block]
+    before[(off[:-1, None] + np.arange(block)).reshape(-1)] = 0
+    ends = np.flatnonzero(symbols == 0)
+    order = np.concatenate([ends, first])
+    for _ in range(_deepest(off, block) - 1):
         # Whoever has a block before it leads to the suffix one block longer; the ends come first.
-        led = order[inside[order]]
-        ranked = stable_order(before[led])
-        order = np.concatenate([np.flatnonzero(ends), led[ranked] - block])
+        led = before[order]
+        some = np.flatnonzero(led)
+        ranked, _ = stable_order(led[some])
+        order = np.concatenate([ends, order[some][ranked] - block])
     return Transform(before[order], order)
 
 
 def _deepest(off: np.ndarray, block: int) -> int:
-    return int(np.diff(off).max(initial=0)) // block + 1
+    """Blocks of the longest suffix, as a string of m bytes has m + 1 places; the ends need no round."""
+    return max(1, (int(np.diff(off).max(initial=1)) - 1) // block)
 
 
 def merge(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarray]:
     """The two as one, sorted by `depth` blocks, and a number for each set of entries with the same blocks there."""
-    side = np.concatenate([np.zeros(len(a.symbols), bool), np.ones(len(b.symbols), bool)])
-    group = np.zeros(len(side), np.int64)
-    for _ in range(depth):
-        symbols = np.empty(len(side), np.int64)
-        symbols[~side], symbols[side] = a.symbols, b.symbols
-        order = stable_order(symbols)
-        side, symbols, group = side[order], symbols[order], group[order]
-        parts = np.ones(len(side), bool)
-        # Two ends never part; other suffixes part by their first block or by what follows it.
-        parts[1:] = (symbols[1:] != symbols[:-1]) | ((group[1:] != group[:-1]) & (symbols[1:] > 0))
-        group = np.cumsum(parts)
-    symbols, where = np.empty(len(side), np.int64), np.empty(len(side), np.int64)
-    symbols[~side], symbols[side] = a.symbols, b.symbols
-    where[~side], where[side] = a.where, b.where
+    # In the first round the order by one block, a's entries before b's, follows from how often each symbol is there.
+    most = 1 + max(int(x.symbols.max(initial=0)) for x in (a, b))
+    often = np.stack([np.bincount(x.symbols, minlength=most) for x in (a, b)], axis=1)
+    side = np.repeat(np.tile([False, True], most), often.reshape(-1))
+    group = np.repeat(np.arange(most), often.sum(axis=1))
+    of_a, of_b = np.flatnonzero(~side), np.flatnonzero(side)
+    symbols = np.empty(len(side), np.int64)
+    for k in range(depth):
+        if k:
+            order, ranked = stable_order(symbols)
+            side, group = side[order], group[order]
+            parts = np.ones(len(side), bool)
+            # Two ends never part; other suffixes part by their first block or by what follows it.
+            parts[1:] = (ranked[1:] != ranked[:-1]) | ((group[1:] != group[:-1]) & (ranked[1:] > 0))
+            group = np.cumsum(parts)
+            of_a, of_b = np.flatnonzero(~side), np.flatnonzero(side)
+        # The entries of each side in turn, in its own order.
+        symbols[of_a], symbols[of_b] = a.symbols, b.symbols
+    where = np.empty(len(side), np.int64)
+    where[of_a], where[of_b] = a.where, b.where
     return Transform(symbols, where), group
 
 
 def repeated_windows(texts: list[bytes], copies: np.ndarray, scale: Scale, shard: int = SHARD) -> list[np.ndarray]:
     """For each context: which of its windows are in the contexts twice or more, copies counted."""
     block = scale.block
-    off = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    size = np.array([len(t) for t in texts], np.int64)
+    off = np.concatenate([[0], np.cumsum(size)])
     data = np.frombuffer(b"".join(texts), np.uint8)
-    size = np.diff(off)
-    places = np.flatnonzero(np.arange(len(data)) <= np.repeat(off[1:], size) - block)
-    _, number = np.unique(ws.range_hash(ws.prefix_hash(data), places, places + block), return_inverse=True)
     # A string of m bytes has m - block + 1 places with a block, and `block` ends.
     narrow = off + np.arange(len(texts) + 1)
+
+    def until(last: np.ndarray, rest: int) -> np.ndarray:
+        """Of each string the places up to its last, without the `rest` that follow."""
+        return np.repeat(np.tile([True, False], len(texts)), np.stack([last + 1, np.full(len(texts), rest)], axis=1).reshape(-1))
+
+    whole = np.flatnonzero(until(size - block, block))
+    hashes = place_hash(data, block)
+    order, number = numbered(hashes[until(size - block, block - 1)[: len(hashes)]])
+    order = whole[order]
     symbols = np.zeros(int(narrow[-1]), np.int64)
-    symbols[places + np.repeat(np.arange(len(texts)), np.maximum(size - block + 1, 0))] = number + 1
-    # Shards of whole strings, two at least.
-    cuts = np.unique(np.concatenate([[0], np.searchsorted(off, np.arange(shard, int(off[-1]), shard)), [len(texts)]]))
+    symbols[order] = number
+    # Shards of whole strings, two at least, of about equal size.
+    several = max(2, round(int(off[-1]) / shard))
+    cuts = np.unique(np.concatenate([[0], np.searchsorted(off, np.arange(1, several) * int(off[-1]) // several), [len(texts)]]))
     if len(cuts) == 2:
         cuts = np.unique(np.array([0, -(-len(texts) // 2), len(texts)]))
     shards = []
     for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        t = transform(symbols[narrow[lo] : narrow[hi]], narrow[lo : hi + 1] - narrow[lo], block)
-        t.where = t.where + narrow[lo]
+        start, end = narrow[lo], narrow[hi]
+        first = order[(order >= start) & (order < end)] - start
+        t = transform(symbols[start:end], narrow[lo : hi + 1] - start, block, first)
+        t.where = t.where + start
         shards.append(t)
     if len(shards) == 1:
         shards.append(Transform(symbols[:0], symbols[:0]))
-    whole = _deepest(narrow, block)
+    deepest = _deepest(narrow, block)
     while len(shards) > 2:
-        shards = [merge(*shards[k : k + 2], whole)[0] if k + 1 < len(shards) else shards[k] for k in range(0, len(shards), 2)]
+        shards = [merge(*shards[k : k + 2], deepest)[0] if k + 1 < len(shards) else shards[k] for k in range(0, len(shards), 2)]
     last, group = merge(*shards, scale.length // block)
-    string = np.searchsorted(narrow, last.where, "right") - 1
-    is_window = last.where - narrow[string] <= size[string] - scale.length
-    total = np.bincount(group[is_window], copies[string[is_window]], minlength=int(group.max(initial=0)) + 1)
+    windows = until(size - scale.length, scale.length)
+    is_window = windows[last.where]
+    where, group = last.where[is_window], group[is_window]
+    total = np.bincount(group, np.repeat(copies, size + 1)[where])
     flag = np.zeros(len(symbols), bool)
-    flag[last.where[is_window]] = total[group[is_window]] > 1.5
+    flag[where] = total[group] > 1.5
     return [flag[narrow[i] : narrow[i] + size[i] - scale.length + 1] for i in range(len(texts))]
 
 

@@ -24,6 +24,13 @@ def _residue(x: np.ndarray) -> np.ndarray:
     return (x & _P) + (x >> _HALF)
 
 
+def product(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x * y modulo the prime; for x below 2 ** 62 and y up to the prime."""
+    x = _residue(_residue(x) * y)
+    x[x == _P] = 0
+    return x
+
+
 def powers(n: int) -> np.ndarray:
     """Rows: the powers of both bases, then of their inverses, modulo the prime, for exponents below n."""
     global _powers
@@ -134,8 +141,7 @@ def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     inverse = powers(sums.shape[1])[2:]
     halves = []
     for k in range(2):
-        x = _residue(_residue(sums[k][ends] - sums[k][starts]) * inverse[k][starts])
-        halves.append(np.where(x == _P, np.uint64(0), x))
+        halves.append(product(sums[k][ends] - sums[k][starts], inverse[k][starts]))
     return mix(mix((halves[0] << np.uint64(32)) | halves[1]) + (ends - starts).astype(np.uint64))
 
 

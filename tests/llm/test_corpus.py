@@ -81,6 +81,46 @@ def test_transforms_merge():
     assert all(f.all() for f in repeats.repeated_windows([texts[9]], np.array([2]), repeats.WHOLE))
 
 
+def test_transforms_of_few_even_shards(monkeypatch):
+    rng = random.Random(8)
+    line = bytes(rng.choices(b"ab", k=3)) * 40 + bytes(rng.choices(b"abcdef ", k=800))
+    texts = [line[a : a + n] for n in (256, 257, 383, 384, 385, 416, 512) for a in (rng.randint(0, 300) for _ in range(12))]
+    seen = collections.Counter(t[i : i + 256] for t in texts for i in range(len(t) - 255))
+    want = [[seen[t[i : i + 256]] > 1 for i in range(len(t) - 255)] for t in texts]
+    total, made, plain = sum(map(len, texts)), [], repeats.transform
+    monkeypatch.setattr(repeats, "transform", lambda *a: made.append(len(a[0])) or plain(*a))
+    for shards in (2, 3, 5, 8):
+        made.clear()
+        # A little more than whole shards, as buckets are: what is beyond makes no shard of its own.
+        shard = (total - 600) // shards
+        assert [f.tolist() for f in repeats.repeated_windows(texts, np.ones(len(texts)), repeats.PASSAGE, shard)] == want
+        assert len(made) == shards and min(made) > shard // 2
+
+
+def test_contexts_hash_only_what_they_return(monkeypatch):
+    rng = random.Random(9)
+    data = np.frombuffer(bytes(rng.choices(b"abcdefgh ", k=100_000)), np.uint8)
+    made, plain = [], repeats.ws.range_hash
+    monkeypatch.setattr(repeats.ws, "range_hash", lambda sums, starts, ends: made.append(len(starts)) or plain(sums, starts, ends))
+    row, *_ = repeats.contexts(data, np.array([0, 40_000, 100_000]), repeats.PASSAGE)
+    assert 100 < len(row) < 5000 and sum(made) == 2 * len(row)
+
+
+def test_hashes_of_places(monkeypatch):
+    rng = random.Random(10)
+    monkeypatch.setattr(repeats, "_STEP", 64)
+    raw = bytes(rng.choices(b"\0\1", k=500)) + bytes(300) + b"\0\1" * 100
+    for of in (repeats.choosing_hash, repeats.place_hash):
+        for width in (5, 96):
+            found = of(np.frombuffer(raw, np.uint8), width).tolist()
+            pairs = set(zip((raw[i : i + width] for i in range(len(raw) - width + 1)), found, strict=True))
+            assert len(found) == len(raw) - width + 1 and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    # Different hashes with equal upper bits are different numbers.
+    hashes = np.array([5, 3, 5, 1 << 61, 3, 4, 1 << 61], np.uint64)
+    order, number = repeats.numbered(hashes)
+    assert order.tolist() == [1, 4, 5, 0, 2, 3, 6] and number.tolist() == [1, 1, 2, 3, 3, 4, 4]
+
+
 def test_planted_passages(spark):
     rng = random.Random(21)
     word = lambda: "".join(rng.choices("abcdefghiklmnoprstu", k=rng.randint(2, 9)))
