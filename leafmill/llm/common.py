@@ -70,6 +70,15 @@ def release(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def by_sorting(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never sent whole to the driver and all executors.
+
+    Spark sizes Parquet by its compressed bytes, a row by fixed widths and an exploded array as one element, so that it
+    may broadcast what is many times the threshold. For joins both sides of which grow with the input.
+    """
+    return df.hint("merge")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

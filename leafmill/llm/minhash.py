@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from . import wordscan as ws
-from .common import materialize, only, release, tune
+from .common import by_sorting, materialize, only, release, tune
 from .graph import components
 from .simhash import joined_words
 
@@ -149,8 +149,8 @@ def buckets(nodes: DataFrame) -> DataFrame:
     # Fingerprints meet those of their own table alone.
     found = simhash.links(prints.select("table", "fp"), simhash.plan(sample, prints.count() // simhash.TABLES))
     roots = materialize(components(found).select(F.col("node").alias("fp"), F.col("root").alias("band")), "bands")
-    equal = prints.where("_c > 1").join(roots, "fp", "left_anti").select("fp", F.col("fp").alias("band"))
-    out = materialize(rows.join(roots.unionByName(equal), "fp").select("node", "n", "band"), "met")
+    equal = prints.where("_c > 1").join(by_sorting(roots), "fp", "left_anti").select("fp", F.col("fp").alias("band"))
+    out = materialize(rows.join(by_sorting(roots.unionByName(equal)), "fp").select("node", "n", "band"), "met")
     release(prints, found, roots)
     return out
 
@@ -164,7 +164,7 @@ def paired(rows: DataFrame, similarity: float) -> DataFrame:
     counts = classed.groupBy("band", "_class").agg(F.count(F.lit(1)).alias("_c"))
     per = counts.groupBy("band").agg(F.collect_list("_class").alias("_classes"), F.collect_list(F.when(F.col("_c") > 1, F.col("_class"))).alias("_several"))
     beside = F.array_contains("_classes", F.col("_class") + 1) | F.array_contains("_classes", F.col("_class") - 1)
-    return classed.join(per, "band").where(beside | F.array_contains("_several", F.col("_class"))).select(*rows.columns)
+    return classed.join(by_sorting(per), "band").where(beside | F.array_contains("_several", F.col("_class"))).select(*rows.columns)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     met = buckets(nodes)
     rows = paired(met, similarity)
     pivots = rows.groupBy("band").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
-    shared = materialize(rows.join(pivots, "band").select("band", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), "_c"), "shared")
+    shared = materialize(rows.join(by_sorting(pivots), "band").select("band", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"), "_c"), "shared")
     release(met)
 
     def sized(x: str, y: str):
@@ -184,35 +184,35 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
     def possible(pairs: DataFrame) -> DataFrame:
         one, two = (cells.select(F.col("node").alias(x), F.col("cells").alias(f"cells_{x}")) for x in ("a", "b"))
-        return materialize(materialize(pairs.distinct(), "held").join(two, "b").join(one, "a").select("a", "b", "cells_a", "cells_b").mapInArrow(_possible(similarity), "a long, b long"), "possible")
+        return materialize(materialize(pairs.distinct(), "held").join(by_sorting(two), "b").join(by_sorting(one), "a").select("a", "b", "cells_a", "cells_b").mapInArrow(_possible(similarity), "a long, b long"), "possible")
 
-    cells = materialize(nodes.select("node", "cells").join(shared.select("node").distinct(), "node", "left_semi"), "cells")
+    cells = materialize(nodes.select("node", "cells").join(by_sorting(shared.select("node").distinct()), "node", "left_semi"), "cells")
     # All pairs of small buckets, and of the others those with the pivot.
     small = shared.where(F.col("_c") <= SMALL).select("band", "node", "n")
-    both = small.join(small.select("band", F.col("node").alias("node_b"), F.col("n").alias("n_b")), "band").where((F.col("node") < F.col("node_b")) & sized("n", "n_b"))
+    both = small.join(by_sorting(small.select("band", F.col("node").alias("node_b"), F.col("n").alias("n_b"))), "band").where((F.col("node") < F.col("node_b")) & sized("n", "n_b"))
     star = shared.where((F.col("_c") > SMALL) & (F.col("node") != F.col("pivot")) & sized("n", "pivot_n"))
     first = possible(star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).unionByName(both.select(F.col("node").alias("a"), F.col("node_b").alias("b"))))
     # What could equal none but the pivot is settled.
     others = materialize(paired(shared.where((F.col("_c") > SMALL) & (F.col("node") != F.col("pivot"))).select("band", "node", "n"), similarity), "others")
 
     # The texts of candidates, one row a node.
-    wanted = nodes.join(first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(others.select("node")).distinct(), "node").select("node", F.col("at.key").alias("_key"), F.col("at.doc_id").alias("_id"))
-    met = texts.join(wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    wanted = nodes.join(by_sorting(first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(others.select("node")).distinct()), "node").select("node", F.col("at.key").alias("_key"), F.col("at.doc_id").alias("_id"))
+    met = texts.join(by_sorting(wanted), (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     bodies = materialize(met.select("node", "text").dropDuplicates(["node"]), "bodies")
 
     def linked(pairs: DataFrame) -> DataFrame:
         one = bodies.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         two = bodies.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return materialize(pairs.join(two, "b").join(one, "a").select("a", "b", "text_a", "text_b").mapInArrow(_alike(shingle, similarity), "a long, b long"), "near")
+        return materialize(pairs.join(by_sorting(two), "b").join(by_sorting(one), "a").select("a", "b", "text_a", "text_b").mapInArrow(_alike(shingle, similarity), "a long, b long"), "near")
 
     stars = linked(first)
     roots = materialize(components(stars), "roots")
-    placed = others.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
+    placed = others.join(by_sorting(roots), "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
     split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    part = materialize(placed.join(split, "band", "left_semi"), "part")
-    parted = materialize(bodies.join(part.select("node").distinct(), "node"), "parted")
+    part = materialize(placed.join(by_sorting(split), "band", "left_semi"), "part")
+    parted = materialize(bodies.join(by_sorting(part.select("node").distinct()), "node"), "parted")
     met = F.col("n") - F.coalesce("own", F.lit(0))
-    left = materialize(part.join(_own(parted, shingle), "node", "left").select("band", "node", "n", "root", met.alias("met")), "left")
+    left = materialize(part.join(by_sorting(_own(parted, shingle)), "node", "left").select("band", "node", "n", "root", met.alias("met")), "left")
 
     # Shingles that no other of these texts has bound what two can have in common.
     def enough(common: Column, n: str = "n", n_b: str = "n_b") -> Column:
@@ -220,41 +220,41 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
 
     hub = F.max(F.struct((F.col("met") / F.col("n")).alias("share"), F.col("node").alias("hub"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), F.col("met").alias("met_b")))
     hubs = materialize(left.groupBy("band").agg(hub.alias("h"), F.min("n").alias("least_n")).select("band", "least_n", "h.*"), "hubs")
-    again = left.join(hubs, "band").where((F.col("root") != F.col("root_b")) & enough(F.least("met", "met_b")))
+    again = left.join(by_sorting(hubs), "band").where((F.col("root") != F.col("root_b")) & enough(F.least("met", "met_b")))
     again = linked(possible(again.select(F.col("hub").alias("a"), F.col("node").alias("b"))))
     stars = stars.unionByName(again)
     roots = materialize(components(stars), "roots")
 
     # What is left are rows outside their hub's component, if any text of the bucket's sizes could reach them.
-    rooted = left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    main = hubs.select("band", "hub", "least_n").join(roots.select(F.col("node").alias("hub"), F.col("root").alias("main")), "hub", "left").select("band", "hub", "least_n", F.coalesce("main", "hub").alias("main"))
+    rooted = left.drop("root").join(by_sorting(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    main = hubs.select("band", "hub", "least_n").join(by_sorting(roots.select(F.col("node").alias("hub"), F.col("root").alias("main"))), "hub", "left").select("band", "hub", "least_n", F.coalesce("main", "hub").alias("main"))
     reach = F.col("met") / (F.col("n") + F.greatest("least_n", "met") - F.col("met")) >= similarity
-    within = materialize(rooted.join(main, "band").where(reach).where("node <> hub").select("node", "n", "root", "hub", "main").distinct(), "within")
-    within_open = within.join(within.where("root <> main").select("hub").distinct(), "hub", "left_semi")
+    within = materialize(rooted.join(by_sorting(main), "band").where(reach).where("node <> hub").select("node", "n", "root", "hub", "main").distinct(), "within")
+    within_open = within.join(by_sorting(within.where("root <> main").select("hub").distinct()), "hub", "left_semi")
     one = parted.select("node", F.col("text").alias("text_a"))
     two = parted.select(F.col("node").alias("hub"), F.col("text").alias("text_b"))
-    split_up = within_open.select("node", "hub").join(two, "hub").join(one, "node").select("node", "hub", "text_a", "text_b").mapInArrow(_apart(shingle), "node long, hub long, common int, beside array<long>")
-    apart = materialize(within_open.join(split_up, ["node", "hub"]), "apart")
+    split_up = within_open.select("node", "hub").join(by_sorting(two), "hub").join(by_sorting(one), "node").select("node", "hub", "text_a", "text_b").mapInArrow(_apart(shingle), "node long, hub long, common int, beside array<long>")
+    apart = materialize(within_open.join(by_sorting(split_up), ["node", "hub"]), "apart")
 
     def against(rows: DataFrame, *keys: str) -> DataFrame:
         """Pairs of a row outside its hub's component and one of another component, equal in the keys."""
         outside = rows.where("root <> main").drop("main")
         other = rows.select(*keys, "main", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "root", "common")])
         once = (F.col("root_b") == F.col("main")) | (F.col("node") < F.col("node_b"))
-        return outside.join(other, list(keys)).where((F.col("root") != F.col("root_b")) & sized("n", "n_b") & once)
+        return outside.join(by_sorting(other), list(keys)).where((F.col("root") != F.col("root_b")) & sized("n", "n_b") & once)
 
     # In the hub two texts have at most the lesser count in common; beside it, what they share there.
     fewest = apart.groupBy("hub").agg(F.min("n").alias("least_n"))
     alone = F.col("common") / (F.col("n") + F.greatest("least_n", "common") - F.col("common")) >= similarity
-    able = apart.join(fewest, "hub").where(alone).select("hub", "node", "n", "root", "main", "common")
+    able = apart.join(by_sorting(fewest), "hub").where(alone).select("hub", "node", "n", "root", "main", "common")
     inside = against(able, "hub").where(enough(F.least("common", "common_b")))
     listed = apart.select("hub", "node", "n", "root", "main", "common", F.explode("beside").alias("shingle"))
     several = listed.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("hub", "shingle")
-    listed = listed.join(several, ["hub", "shingle"])
+    listed = listed.join(by_sorting(several), ["hub", "shingle"])
     # A row whose shingles don't do with all of these in common is in no pair.
     most = F.col("common") + F.col("_c")
-    usable = listed.groupBy("hub", "node", "n", "common").agg(F.count(F.lit(1)).alias("_c")).join(fewest, "hub").where(most / (F.col("n") + F.greatest("least_n", most) - most) >= similarity)
-    listed = listed.join(usable.select("hub", "node"), ["hub", "node"], "left_semi")
+    usable = listed.groupBy("hub", "node", "n", "common").agg(F.count(F.lit(1)).alias("_c")).join(by_sorting(fewest), "hub").where(most / (F.col("n") + F.greatest("least_n", most) - most) >= similarity)
+    listed = listed.join(by_sorting(usable.select("hub", "node")), ["hub", "node"], "left_semi")
     met_beside = against(listed, "hub", "shingle").groupBy("hub", "node", "node_b", "n", "n_b", "common", "common_b").agg(F.count(F.lit(1)).alias("_shared"))
     beside = met_beside.where(enough(F.least("common", "common_b") + F.col("_shared")))
     pairs = inside.select("node", "node_b", "n", "n_b").unionByName(beside.select("node", "node_b", "n", "n_b"))
@@ -264,9 +264,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     roots = materialize(components(stars.unionByName(rest)), "roots")
     release(shared, others, first, bodies, part, parted, left, hubs, within, apart, pairs, cells)
 
-    known = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    known = nodes.join(by_sorting(roots), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    known = known.join(least, "root").select("node", "component_id")
-    out = materialize(prints.select("doc_id", "node").join(known, "node").select("doc_id", "component_id"), "found")
+    known = known.join(by_sorting(least), "root").select("node", "component_id")
+    out = materialize(prints.select("doc_id", "node").join(by_sorting(known), "node").select("doc_id", "component_id"), "found")
     release(prints, nodes, roots)
     return out

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import columns, materialize, only, ranked, stable_rows
+from .common import by_sorting, columns, materialize, only, ranked, stable_rows
 
 LIMIT, CYCLE, TILT = 3, 3, 0.5
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -96,7 +96,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     kept = stable_rows(docs, row)
     sized = only(kept, "doc_id", "source", "text", row).select("doc_id", "source", n_words().alias("size"), row)
     done = copies(schedule(sized)).select(row, F.col("words").alias(words), F.col("size").alias(size), F.col("position").alias(place), F.col("pass").alias(turn))
-    out = kept.join(done, row)
+    out = kept.join(by_sorting(done), row)
     short = F.expr(f"concat_ws('', slice(regexp_extract_all(text, '[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast({words} as int)))")
     is_cut = F.col(words) < F.col(size)
     out = out.withColumn("text", F.when(is_cut, short).otherwise(F.col("text")))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordscan as ws
-from .common import columns, materialize, only, release, tune
+from .common import by_sorting, columns, materialize, only, release, tune
 from .graph import components
 
 BITS, SHINGLE, SEED, TAU = 64, 3, 42, 2
@@ -205,14 +205,14 @@ def links(nodes: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame:
     exact = materialize(exact, "keys")
     probes = exact if plain else materialize(probes, "probes")
     several = materialize(probes.groupBy("part", "key").count().where(F.col("count") > (1 if plain else BUCKET)), "several")
-    full = several.where(F.col("count") > BUCKET).select("part", "key")
+    full = by_sorting(several.where(F.col("count") > BUCKET).select("part", "key"))
     crowded = probes.join(full, ["part", "key"], "left_semi").select("fp").distinct()
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= TAU
     # Where nothing is probed both sides are the same rows, and only keys that several have are of use.
-    left = probes.join(several.where(F.col("count") <= BUCKET), ["part", "key"], "left_semi") if plain else probes.join(full, ["part", "key"], "left_anti")
+    left = probes.join(by_sorting(several.where(F.col("count") <= BUCKET)), ["part", "key"], "left_semi") if plain else probes.join(full, ["part", "key"], "left_anti")
     left = left.select("part", "key", F.col("fp").alias("a"))
     right = left.withColumnRenamed("a", "b") if plain else exact.select("part", "key", F.col("fp").alias("b"))
-    pairs = left.join(right, ["part", "key"]).where((F.col("a") != F.col("b")) & near).select("a", "b")
+    pairs = left.join(by_sorting(right), ["part", "key"]).where((F.col("a") != F.col("b")) & near).select("a", "b")
     around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << b)).cast("long")) for b in range(BITS)])
     balls = crowded.select("fp", F.explode(around).alias("key")).groupBy("key").agg(F.sort_array(F.collect_set("fp")).alias("in")).where(F.size("in") > 1)
     stars = balls.select(F.explode(F.slice("in", 2, BITS)).alias("a"), F.col("in")[0].alias("b"))
@@ -232,10 +232,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     else:
         found = links(nodes.select("fp"), plan(sample, total))
         roots = components(found)
-        placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+        placed = nodes.join(by_sorting(roots), nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
         least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-        known = materialize(placed.join(least, "root").select("fp", "component_id"), "known")
-    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
+        known = materialize(placed.join(by_sorting(least), "root").select("fp", "component_id"), "known")
+    return prints.join(by_sorting(known), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, classes: Callable[[DataFrame], DataFrame] = near_duplicates) -> DataFrame:
