@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import tags
@@ -128,20 +130,34 @@ def budget_stop(calls: DataFrame, limit: Column, job: str, *order: str, cost: st
 def throttle(calls: DataFrame, limiter: str, order: list[str], at: str, need: Column, rate: float, burst: float) -> DataFrame:
     """wait (seconds) of each call behind a token bucket that refills continuously; needs above the burst are clamped.
 
-    One limiter is one queue, so its calls are one fold over an ordered array.
+    One limiter is one queue, so its calls are taken one by one in order, as a sorted stream: a task holds a batch and
+    the bucket's state, whatever the number of calls.
     """
-    rows = F.sort_array(F.collect_list(F.struct(*order, F.col(at).cast("double").alias("_t"), F.least(need, F.lit(burst)).cast("double").alias("_need"))))
-    start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(burst).alias("level"), F.lit(None).cast("double").alias("t"))
-
-    def step(a: Column, c: Column) -> Column:
-        now = F.greatest(c["_t"], F.coalesce(a["t"], c["_t"]))
-        level = F.least(F.lit(burst), a["level"] + (now - F.coalesce(a["t"], now)) * F.lit(rate))
-        wait = F.greatest(F.lit(0.0), (c["_need"] - level) / F.lit(rate))
-        return F.struct(F.concat(a["out"], F.array(now + wait - c["_t"])).alias("out"), F.greatest(level + wait * F.lit(rate) - c["_need"], F.lit(0.0)).alias("level"), (now + wait).alias("t"))
-
-    folded = calls.groupBy(limiter).agg(rows.alias("_c"), F.aggregate(rows, start, step, lambda a: a["out"]).alias("_w"))
-    zipped = folded.select(limiter, F.explode(F.arrays_zip("_c", "_w")).alias("z"))
-    return zipped.select(limiter, *[F.col(f"z._c.{c}").alias(c) for c in order], F.col("z._w").alias("wait"))
+    names = [limiter, *dict.fromkeys(c for c in order if c != limiter)]
+    rows = calls.select(*names, F.col(at).cast("double").alias("_t"), F.least(need, F.lit(burst)).cast("double").alias("_need"))
+    rows = rows.repartition(limiter).sortWithinPartitions(limiter, *order, "_t", "_need")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, level, t = object(), burst, None
+        for batch in batches:
+            waits = []
+            for who, at_, need_ in zip(*(batch.column(c).to_pylist() for c in (limiter, "_t", "_need")), strict=True):
+                if who != last:
+                    last, level, t = who, burst, None
+                if at_ is None and t is None:
+                    # A time that isn't known, before any that is: the bucket counts as full.
+                    level = max(burst - need_, 0.0)
+                    waits.append(None)
+                    continue
+                now = at_ if t is None else t if at_ is None else max(at_, t)
+                level = min(burst, level + (now - (now if t is None else t)) * rate)
+                wait = max(0.0, (need_ - level) / rate)
+                waits.append(None if at_ is None else now + wait - at_)
+                level, t = max(level + wait * rate - need_, 0.0), now + wait
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(waits, pa.float64())], [*names, "wait"])
+
+    schema = T.StructType([*(calls.schema[c] for c in names), T.StructField("wait", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def summary_points(batches: DataFrame, chapter: str, *order: str, s: Settings = DEFAULTS) -> DataFrame:

@@ -375,3 +375,21 @@ def test_outline_matches_either_way(spark):
     entries = spark.createDataFrame([("b", 0, 1, "The  Long, Winter!", 1), ("b", 1, 2, "Two", 2), ("b", 2, 3, "Deep", 2), ("b", 3, 1, "Lost", 9)], "book_id string, entry int, level int, title string, page int")
     paragraphs = spark.createDataFrame([("b", 0, [1], "noise"), ("b", 1, [1], "the long winter of 1709"), ("b", 2, [2], "Deep"), ("b", 3, [3], "tw"), ("b", 4, [3], "Tw o")], "book_id string, ordinal int, pages array<int>, text string")
     assert sorted((r.entry, r.ordinal) for r in structure.match_outline(entries, paragraphs).collect()) == [(0, 1), (1, 3)]
+
+
+def test_throttle_holds_no_queue(spark):
+    rows = [(("a", "b", None)[k % 3], k, None if k in (0, 9) else float(k // 40 * 7), 30.0 + k % 5 * 40) for k in range(6000)]
+    frame = spark.createDataFrame(rows, "m string, k long, at double, need double").repartition(3)
+    got = ladder.throttle(frame, "m", ["k"], "at", F.col("need"), 0.01, 120.0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "aggregate(" not in plan
+    want = {}
+    state = {}
+    for m, k, t, need in rows:
+        level, at = state.get(m, (120.0, None))
+        now = max([x for x in (t, at) if x is not None], default=None)
+        level = 120.0 if now is None else min(120.0, level + (now - (now if at is None else at)) * 0.01)
+        wait = max(0.0, (min(need, 120.0) - level) / 0.01)
+        want[k] = None if t is None else now + wait - t
+        state[m] = (max(level + wait * 0.01 - min(need, 120.0), 0.0), None if now is None else now + wait)
+    assert {r.k: r.wait for r in got.collect()} == want
