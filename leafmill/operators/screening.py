@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..settings import DEFAULTS, Settings
@@ -95,16 +99,56 @@ def markup(source: str | Column, target: str | Column) -> dict[str, Column]:
     }
 
 
-def length_ratios(pairs: DataFrame, *order: str, by: str | None = None) -> DataFrame:
-    """ratio of pairs with 40 source characters or more, its running median (itself included) and outlier.
+def length_ratio(source: str | Column, target: str | Column) -> Column:
+    """Target by source length, of sources of 40 characters or more."""
+    a, b = tx.col(source), tx.col(target)
+    return F.when(F.length(a) >= RATIO_LEAST, F.length(b) / F.length(a))
+
+
+def running_median(rows: DataFrame, value: str, *order: str, by: str | None = None) -> DataFrame:
+    """rows with n and median: how many values (nulls don't count) there are up to each row, and their true median.
 
-    A pair is an outlier once 25 ratios are there and it is over 0.4 of the median away. `order` must be total.
+    A group's rows come as a sorted stream; two heaps hold its values below and above the median, so a row costs the
+    logarithm of their number. `rows` should be narrow, as all columns go through Python.
     """
-    ratio = F.when(F.length("source") >= RATIO_LEAST, F.length("target") / F.length("source"))
-    w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = pairs.withColumn("ratio", ratio)
-    rows = rows.withColumn("n", F.count("ratio").over(w)).withColumn("median", F.percentile("ratio", F.lit(0.5)).over(w))
-    return rows.withColumn("outlier", F.col("ratio").isNotNull() & (F.col("n") >= RATIO_SAMPLES) & (F.abs(F.col("ratio") - F.col("median")) > RATIO_SPREAD * F.col("median")))
+    names = rows.columns
+    keyed = rows.repartition(by) if by else rows.repartition(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, low, high, median = object(), [], [], None
+        for batch in batches:
+            counts, medians = [], []
+            groups = batch.column(by).to_pylist() if by else [None] * batch.num_rows
+            for group, x in zip(groups, batch.column(value).to_pylist(), strict=True):
+                if group != last:
+                    last, low, high, median = group, [], [], None
+                if x is not None:
+                    # low holds the lesser half, negated, and the middle one of an odd number.
+                    if len(low) == len(high):
+                        heapq.heappush(low, -heapq.heappushpop(high, x))
+                    else:
+                        heapq.heappush(high, -heapq.heappushpop(low, -x))
+                    median = -low[0] if len(low) > len(high) else -low[0] if -low[0] == high[0] else 0.5 * -low[0] + 0.5 * high[0]
+                counts.append(len(low) + len(high))
+                medians.append(median)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), pa.array(medians, pa.float64())], [*names, "n", "median"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("n", T.LongType()), T.StructField("median", T.DoubleType())])
+    return keyed.sortWithinPartitions(*([by] if by else []), *order).mapInArrow(run, schema)
+
+
+def ratio_outliers(rows: DataFrame, *order: str, by: str | None = None) -> DataFrame:
+    """rows (ratio, ...) with n and the ratios' running median (each included) and outlier.
+
+    A row is an outlier once 25 ratios are there and it is over 0.4 of the median away. `order` must be total.
+    """
+    out = running_median(rows, "ratio", *order, by=by)
+    return out.withColumn("outlier", F.col("ratio").isNotNull() & (F.col("n") >= RATIO_SAMPLES) & (F.abs(F.col("ratio") - F.col("median")) > RATIO_SPREAD * F.col("median")))
+
+
+def length_ratios(pairs: DataFrame, *order: str, by: str | None = None) -> DataFrame:
+    """ratio_outliers of pairs (source, target, ...), all their columns kept."""
+    return ratio_outliers(pairs.withColumn("ratio", length_ratio("source", "target")), *order, by=by)
 
 
 def integrity(requested: DataFrame, returned: DataFrame, batch: str = "batch_id") -> DataFrame:

@@ -151,8 +151,8 @@ def degeneration_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 m as (select *, count(ratio) over w as n, quantile_cont(ratio, 0.5) over w as median from r window w as (partition by lane order by conv_id, turn rows between unbounded preceding and current row))
 select conv_id, turn, ratio, n, median, ratio is not null and n >= 25 and abs(ratio - median) > 0.4 * median as outlier from m""")
 def length_ratio_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pairs(spark, sf_dir).withColumn("lane", F.col("conv_id") % 8)
-    return screening.length_ratios(rows, "conv_id", "turn", by="lane").select("conv_id", "turn", "ratio", "n", "median", F.coalesce("outlier", F.lit(False)).alias("outlier"))
+    rows = pairs(spark, sf_dir).select("conv_id", "turn", (F.col("conv_id") % 8).alias("lane"), screening.length_ratio("source", "target").alias("ratio"))
+    return screening.ratio_outliers(rows, "conv_id", "turn", by="lane").select("conv_id", "turn", "ratio", "n", "median", F.coalesce("outlier", F.lit(False)).alias("outlier"))
 
 
 @query(f"""with {PAIRS}, p as (select conv_id, turn, source, case when conv_id % 4 = 0 then source else target end as target from pairs),

@@ -393,3 +393,16 @@ def test_throttle_holds_no_queue(spark):
         want[k] = None if t is None else now + wait - t
         state[m] = (max(level + wait * 0.01 - min(need, 120.0), 0.0), None if now is None else now + wait)
     assert {r.k: r.wait for r in got.collect()} == want
+
+
+def test_running_medians(spark):
+    rows = [(("a", None)[k % 2], k, None if k % 7 == 0 else float(k * 7919 % 101)) for k in range(5000)]
+    frame = spark.createDataFrame(rows, "g string, k long, x double").repartition(3)
+    out = screening.running_median(frame, "x", "k", by="g")
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    got, seen = {r.k: (r.n, r.median) for r in out.collect()}, {"a": [], None: []}
+    for g, k, x in rows:
+        seen[g] = sorted([*seen[g], *([] if x is None else [x])])
+        s = seen[g]
+        assert got[k] == (len(s), (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2 if s else None)
+    assert [(r.n, r.median) for r in screening.running_median(frame.where("k < 3"), "x", "k").orderBy("k").collect()] == [(0, None), (1, 41.0), (2, 61.5)]
