@@ -26,7 +26,7 @@ MATTER = (
 def open_ended(text: str | Column) -> Column:
     """Short enough for a heading and not ended like a sentence."""
     t = tx.strip(text)
-    return (F.length(t) <= 90) & ~t.rlike("[.!?;]$")
+    return (F.length(t) <= 90) & ~t.rlike(tx.re2("[.!?;]$"))
 
 
 def is_verse() -> Column:
@@ -42,7 +42,7 @@ def kind_by_text(text: str | Column) -> Column:
     quote = F.lit(False)
     for q in tx.QUOTES:
         quote = quote | t.startswith(q)
-    return F.when(tx.is_scene_break(t), "scene_break").when(t.rlike(tx.CAPTION), "figure_caption").when(t.rlike(tx.LIST_ITEM), "list_item").when(tx.is_chapter(t) & open_ended(t), "heading").when(quote, "dialogue").otherwise("paragraph")
+    return F.when(tx.is_scene_break(t), "scene_break").when(t.rlike(tx.re2(tx.CAPTION)), "figure_caption").when(t.rlike(tx.re2(tx.LIST_ITEM)), "list_item").when(tx.is_chapter(t) & open_ended(t), "heading").when(quote, "dialogue").otherwise("paragraph")
 
 
 def classify(paragraphs: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
@@ -75,18 +75,18 @@ def heading_levels(headings: DataFrame, book: str = "book_id", order: str = "ord
     return least.select(book, order, (F.col("_m") + F.col("_i")).cast("int").alias("level"))
 
 
-def matter(paragraphs: DataFrame, first_chapter: int | Column = 0, book: str = "book_id", order: str = "ordinal") -> DataFrame:
+def matter(paragraphs: DataFrame, first_chapter: int | Column = 0, book: str = "book_id", order: str = "ordinal", place: str | None = None) -> DataFrame:
     """matter of each paragraph: the first pattern that fits; contents stay so until a heading or the first chapter.
 
-    With first_chapter 0 every position is at or after it; the true position gives covers (the first three) as well.
+    The position is `place`, or else counted in order. With first_chapter 0 every position is at or after it; the true position gives covers (the first three) as well.
     """
     first = F.lit(first_chapter) if isinstance(first_chapter, int) else first_chapter
     t = tx.strip("text")
     tag = F.lit(None).cast("string")
     for name, pattern in reversed(MATTER):
-        tag = F.when(t.rlike(pattern), name).otherwise(tag)
+        tag = F.when(t.rlike(tx.re2(pattern)), name).otherwise(tag)
     w = Window.partitionBy(book).orderBy(order)
-    out = paragraphs.withColumn("_tag", tag).withColumn("_at", F.row_number().over(w) - 1)
+    out = paragraphs.withColumn("_tag", tag).withColumn("_at", F.col(place) if place else F.row_number().over(w) - 1)
     event = F.when(F.col("_tag") == "toc", True).when(F.col("_tag").isNull() & ((F.col("kind") == "heading") | (F.col("_at") >= first)), False)
     sticky = F.coalesce(F.last(event, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
     kind = F.when(F.col("_tag").isNotNull(), F.col("_tag")).when(sticky, "toc").when((F.col("_at") < first) & (F.col("_at") < 3), "cover").otherwise("body")

@@ -218,7 +218,7 @@ select case when tag is not null then tag when sticky then 'toc' when place < {f
 def _matter(spark: SparkSession, sf_dir: str, first: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("Contents\n"), "text")).otherwise(F.col("text")))
     rows = segmenting.line_blocks(docs).withColumn("kind", structure.kind_by_text("text"))
-    return structure.matter(rows, first, book="doc_id", order="pos").groupBy("matter").agg(F.count(F.lit(1)).alias("n"))
+    return structure.matter(rows, first, book="doc_id", order="pos", place="pos").groupBy("matter").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_matter_sql("5"))
