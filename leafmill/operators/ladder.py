@@ -73,7 +73,7 @@ def attempts_of(batches: DataFrame, responses: DataFrame, round_: int, passes: C
     """One row a requested segment: batch_id, segment_id, attempt_no, text (null if missing), passed."""
     parsed = responses.withColumn("p", tags.parse("response"))
     asked = batches.select("batch_id", F.posexplode(F.arrays_zip("ids", "texts")).alias("ord", "z")).select("batch_id", "ord", F.col("z.ids").alias("segment_id"), F.col("z.texts").alias("source"))
-    rows = asked.join(parsed.select("batch_id", "p.texts"), "batch_id", "left").withColumn("text", F.col("texts")[F.col("segment_id")])
+    rows = asked.join(parsed.select(F.col("batch_id").alias("_b"), "p.texts"), F.col("batch_id").eqNullSafe(F.col("_b")), "left").withColumn("text", F.col("texts")[F.col("segment_id")])
     return rows.select("batch_id", "segment_id", "ord", "source", F.lit(round_).alias("attempt_no"), "text", (F.col("text").isNotNull() & passes(F.col("source"), F.col("text"))).alias("passed"))
 
 
@@ -87,10 +87,10 @@ def run(batches: DataFrame, model: Model, passes: Callable[[Column, Column], Col
     for round_ in range(1, s.max_attempts + 1):
         done = store(attempts_of(pending, call(pending, model, round_), round_, passes), round_)
         out = done if out is None else out.unionByName(done)
-        failed = done.groupBy("batch_id").agg(F.min("passed").alias("ok")).where("not ok").select("batch_id")
+        failed = done.groupBy("batch_id").agg(F.min("passed").alias("ok")).where("not ok").select(F.col("batch_id").alias("_b"))
         if failed.isEmpty():
             break
-        pending = pending.join(failed, "batch_id", "left_semi")
+        pending = pending.join(failed, F.col("batch_id").eqNullSafe(F.col("_b")), "left_semi")
     assert out is not None
     return out
 

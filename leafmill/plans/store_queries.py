@@ -310,7 +310,7 @@ def retry_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best attempts of a model that drops every third segment at first and answers well when asked again."""
     from ..sources.rounds import store_rounds
 
-    rows = segmenting.units(lines(spark, sf_dir)).withColumn("id", tx.block_id("pos"))
+    rows = segmenting.units(lines(spark, sf_dir)).withColumn("id", tx.block_id("pos")).withColumn("text", tx.strip("text"))
     ordered = F.sort_array(F.collect_list(F.struct("pos", "id", "text")))
     batches = rows.groupBy(F.col("doc_id").alias("batch_id")).agg(F.transform(ordered, lambda x: x["id"]).alias("ids"), F.transform(ordered, lambda x: x["text"]).alias("texts"))
 
